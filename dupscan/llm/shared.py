@@ -72,6 +72,13 @@ def shingle_set(ids: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(ids, min(n, len(ids))) ^ U(len(ids) < n and len(ids)))
 
 
+def combine(first: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    """One hash of several columns of 64-bit values."""
+    for x in others:
+        first = mix(first * MIX1 + x)
+    return first
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
@@ -97,14 +104,14 @@ MAX_BITS = 1 << 27
 
 
 def bitmap(ids: DataFrame, n: int) -> np.ndarray:
-    """Bitmap of the hashes of a LONG column, at most 16 MB whatever n is: a filter that lets false ones pass, never loses one."""
-    bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
+    """Bitmap of the hashes of rows of LONG columns, at most 16 MB whatever n is: a filter that lets false ones pass, never loses one."""
+    bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (32 * n).bit_length()))
     schema = pa.schema([("b", pa.binary())])
 
     def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(bits // 8, np.uint8)
         for rb in it:
-            k = mix(rb.column(0).to_numpy(zero_copy_only=False).view(U)) & U(bits - 1)
+            k = mix(combine(*(c.to_numpy(zero_copy_only=False).view(U) for c in rb.columns))) & U(bits - 1)
             np.bitwise_or.at(have, (k >> U(3)).astype(np.int64), (1 << (k & U(7)).astype(np.uint8)).astype(np.uint8))
         if have.any():
             yield batch(schema, [have.tobytes()])
