@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dupscan.llm import jaccard_join
+from dupscan.llm import jaccard_join, substring_dedup
 from dupscan.llm.shared import documents
 
 
@@ -12,5 +12,9 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(documents(spark, sf_dir), n=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.kept_digests(substring_dedup.dedup_substrings(documents(spark, sf_dir), length=50))
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op7_substring_dedup)}
 ORACLES: dict[str, str] = {}
