@@ -14,21 +14,86 @@ from pyspark.sql import functions as F
 U = np.uint64
 #: Odd multipliers of the finalising mix (public splitmix64 constants, fixed values).
 MIX1, MIX2, MIX3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-MAX_CACHE = 1 << 20
 EMPTY = np.empty(0, U)
 
 
-class WordIds(dict):
-    """64-bit hash of each word; bounded, so that a worker's memory does not grow with the vocabulary."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U, len(words))
+BLOCK = 1 << 18
+#: A 64-bit value for each byte, from a rule; white space and lower case of A-Z by byte.
+BYTE = (np.arange(1, 257, dtype=U) * MIX1) ^ (np.arange(1, 257, dtype=U) * MIX3 >> U(17))
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+POWER = INVERSE = np.ones(1, U)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global POWER, INVERSE
+    if len(POWER) < n:
+        n = max(n, BLOCK)
+        with np.errstate(over="ignore"):
+            POWER = np.cumprod(np.r_[U(1), np.full(n - 1, MIX1)], dtype=U)
+            INVERSE = np.cumprod(np.r_[U(1), np.full(n - 1, U(pow(int(MIX1), -1, 1 << 64)))], dtype=U)
+        if n > 8 * BLOCK:  # for one very long text only
+            power, inverse = POWER, INVERSE
+            POWER = INVERSE = np.ones(1, U)
+            return power, inverse
+    return POWER, INVERSE
+
+
+class Texts:
+    """Some rows of a text column: hashes of all their words in order, and where each row's words and bytes begin."""
+
+    def __init__(self, rows: range, data: np.ndarray, at: np.ndarray, lower: bool) -> None:
+        self.rows, self.data, self.at = rows, data, at
+        b = LOWER[data] if lower else data
+        power, inverse = _powers(len(b) + 1)
+        solid = ~SPACE[b]
+        begin, end = solid.copy(), solid.copy()
+        begin[1:] &= ~solid[:-1]
+        end[:-1] &= ~solid[1:]
+        own = at[:-1][at[:-1] < at[1:]]
+        begin[own] = solid[own]
+        own = at[1:][at[:-1] < at[1:]] - 1
+        end[own] = solid[own]
+        s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        total = np.empty(len(b) + 1, U)
+        total[0] = 0
+        np.cumsum(BYTE[b] * power[: len(b)], out=total[1:])
+        self.hashes = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U))
+        self.first = np.searchsorted(s, at)
+
+    def words(self, i: int) -> np.ndarray:
+        return self.hashes[self.first[i] : self.first[i + 1]]
+
+    def raw(self, i: int) -> bytes:
+        return self.data[self.at[i] : self.at[i + 1]].tobytes()
+
+    def version(self, i: int) -> int:
+        return xxhash.xxh3_64_intdigest(self.raw(i)) - 2**63
+
+    def ngrams(self, n: int):
+        """For each row its n-gram hashes by position."""
+        g = ngrams(self.hashes, n)
+        for i in range(len(self.rows)):
+            a, b = self.first[i], self.first[i + 1] - n + 1
+            yield g[a : max(a, b)]
+
+
+def text_blocks(col: pa.Array, lower: bool = False) -> Iterator[Texts]:
+    """The rows of a string column in blocks of about BLOCK bytes, straight from Arrow's buffers; nulls are empty."""
+    if col.null_count:
+        col = col.fill_null("")
+    n, kind = len(col), np.int64 if pa.types.is_large_string(col.type) else np.int32
+    if not n:
+        return
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, kind)[col.offset : col.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK, "right")) - 1)
+        j = min(j, n)
+        yield Texts(range(i, j), data[at[i] : at[j]], at[i : j + 1] - at[i], lower)
+        i = j
 
 
 def words(text: str | None, lower: bool = False) -> list[bytes]:
@@ -65,11 +130,16 @@ def ngrams(ids: np.ndarray, n: int) -> np.ndarray:
     return mix(out[: len(ids) - n + 1] + U(n))
 
 
-def shingle_set(ids: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct n-word shingles; a shorter text counts as one shingle, no words as none."""
-    if not len(ids):
-        return EMPTY
-    return np.unique(ngrams(ids, min(n, len(ids))) ^ U(len(ids) < n and len(ids)))
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
+def shingle_sets(texts: Texts, n: int) -> Iterator[np.ndarray]:
+    """For each row its sorted distinct n-word shingles; a shorter text is one shingle, no words are none."""
+    for i, g in enumerate(texts.ngrams(n)):
+        w = texts.words(i) if not len(g) else EMPTY
+        yield distinct(g) if len(g) else mix(ngrams(w, len(w)) ^ U(len(w))) if len(w) else EMPTY
 
 
 def combine(first: np.ndarray, *others: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dupscan.llm.shared import U, WordIds, among, batch, bitmap, combine, cut, ngrams, signed, words
+from dupscan.llm.shared import Texts, U, among, batch, bitmap, combine, cut, ngrams, signed, text_blocks, words
 
 SHARD = 256
 FAR = 1 << 62
@@ -103,25 +103,29 @@ class Automaton:
         return out
 
 
-def segments(ids: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of each segment: anchor, hash of its content, first window, number of windows."""
+def segments(texts: Texts, length: int) -> Iterator[tuple]:
+    """Of each row with a window: row, and by segment the anchor, a hash of its content, first window, number of windows."""
     k = max(1, length // 3)
-    if len(ids) < length:
-        return (np.empty(0, U),) * 2 + (np.empty(0, np.int64),) * 2
-    g, h = ngrams(ids, k), ngrams(ids, length)
+    if len(texts.hashes) < length:
+        return
+    g, h = ngrams(texts.hashes, k), ngrams(texts.hashes, length)
     view = np.lib.stride_tricks.sliding_window_view(g, length - k + 1)
-    at = np.concatenate([view[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(view))) for i in range(0, len(view), 65536)])
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:], len(at)] - 1
-    return g[at[first]], combine(h[first], h[last], (last - first).astype(U)), first, last - first + 1
+    at = np.concatenate([view[i : i + 32768].argmin(axis=1) + np.arange(i, min(i + 32768, len(view))) for i in range(0, len(view), 32768)])
+    for i in range(len(texts.rows)):
+        a, b = texts.first[i], texts.first[i + 1] - length + 1
+        if a < b:
+            own = at[a:b]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            last = np.r_[first[1:], b - a] - 1
+            yield i, g[own[first]], combine(h[a + first], h[a + last], (last - first).astype(U)), first, last - first + 1
 
 
-def _texts(it: Iterator[pa.RecordBatch]):
-    ids = WordIds()
+def _rows(it: Iterator[pa.RecordBatch], length: int):
     for rb in it:
-        for key, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-            if key is not None and text:
-                yield key, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, ids.of(words(text))
+        keys = rb.column(0).to_pylist()
+        for texts in text_blocks(rb.column(1)):
+            for i, *found in segments(texts, length):
+                yield keys[texts.rows[i]], texts, i, *found
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -131,11 +135,9 @@ def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
 
     def list_all(it):
         held, room = [], 0
-        for key, version, ids in _texts(it):
-            a, s, f, w = segments(ids, length)
-            if len(a):
-                held.append((signed(a), signed(s), np.full(len(a), key), np.full(len(a), version), f.astype(np.int32), w.astype(np.int32)))
-                room += len(a)
+        for key, texts, i, a, s, f, w in _rows(it, length):
+            held.append((signed(a), signed(s), np.full(len(a), key), np.full(len(a), texts.version(i)), f.astype(np.int32), w.astype(np.int32)))
+            room += len(a)
             if room > 100_000:
                 yield batch(schema, *map(np.concatenate, zip(*held, strict=True)))
                 held, room = [], 0
@@ -143,8 +145,9 @@ def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
             yield batch(schema, *map(np.concatenate, zip(*held, strict=True)))
 
     segs = src.mapInArrow(list_all, "anchor long, segment long, id long, version long, first int, windows int").repartition("anchor")
-    stats = segs.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("segment").alias("x"), F.max("segment").alias("y"))
-    stats = stats.where("least < most").select("anchor", "least", (F.col("x") == F.col("y")).alias("alone"))
+    stats = segs.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("segment").alias("x"), F.max("segment").alias("y"), F.max(F.col("version") + F.col("first") + F.col("windows")).alias("z"))
+    # z: as all columns are used, the exchange above serves both sides
+    stats = stats.where("least < most and z is not null").select("anchor", "least", (F.col("x") == F.col("y")).alias("alone"))
     shared = cut(segs.join(stats, "anchor").where("not alone or id > least"))
     end = F.col("first") + F.col("windows") + (length - 2)
     plain = shared.where("alone").select("id", "version", "first", end.alias("last"))
@@ -160,10 +163,10 @@ def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
     def spell(it):
         """The words of the references' segments."""
         held, room = [], 0
-        for key, _, ids in _texts(it):
-            a, s, f, w = segments(ids, length)
-            for i in np.flatnonzero(among(seen.value, combine(a, s, np.full(len(a), key).view(U)))).tolist():
-                held.append((int(signed(a)[i]), int(signed(s)[i]), key, ids[f[i] : f[i] + w[i] + length - 1].tobytes()))
+        for key, texts, i, a, s, f, w in _rows(it, length):
+            ids = texts.words(i)
+            for x in np.flatnonzero(among(seen.value, combine(a, s, np.full(len(a), key).view(U)))).tolist():
+                held.append((int(signed(a)[x]), int(signed(s)[x]), key, ids[f[x] : f[x] + w[x] + length - 1].tobytes()))
                 room += 1
             if room > 5000:
                 yield batch(word_schema, *map(list, zip(*held, strict=True)))
