@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dupscan.llm import jaccard_join, substring_dedup
+from dupscan.llm import chat_format, jaccard_join, quality, substring_dedup
 from dupscan.llm.shared import documents
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(rows.unionByName(extra)))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(documents(spark, sf_dir), n=4, percent=85)
 
@@ -16,5 +24,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(substring_dedup.dedup_substrings(documents(spark, sf_dir), length=50))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op7_substring_dedup)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(quality.crc_mod5("doc_id") != 0)
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select("doc_id", (quality.crc_mod5("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_ngram_jaccard_join, op7_substring_dedup, op8_quality_classifier)}
 ORACLES: dict[str, str] = {}
