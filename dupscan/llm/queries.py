@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupscan.llm import chat_format, jaccard_join, quality, substring_dedup
+from dupscan.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, packing, quality, sharding, substring_dedup
 from dupscan.llm.shared import documents
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -20,6 +27,14 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(documents(spark, sf_dir), n=4, percent=85)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), capacity=2048)
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.cosine_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(substring_dedup.dedup_substrings(documents(spark, sf_dir), length=50))
 
@@ -31,5 +46,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.crc_mod5("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_ngram_jaccard_join, op7_substring_dedup, op8_quality_classifier)}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(documents(spark, sf_dir), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_ngram_jaccard_join, op4_best_fit_packing, op5_embedding_near_dedup, op7_substring_dedup, op8_quality_classifier, op9_benchmark_decontamination, op10_sharding)}
 ORACLES: dict[str, str] = {}
