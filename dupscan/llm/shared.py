@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -170,6 +171,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of frames that nothing refers to any more; else they stay until
+    the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of a few numbers that may be broadcast, after counting them: some 20 MB.
+FEW = 400_000
 MAX_BITS = 1 << 27
 
 
@@ -217,6 +227,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
+    release(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
