@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from dupscan.llm.shared import batch, cut
 
 GROUP, ISLANDS, EPOCHS, POPULATION, GENERATIONS, WELL, LEVELS = 4000, 2, 2, 5, 10, 0.98, 4
-#: Words kept in a worker's cache of token ids.
-CACHE = 500_000
+#: Words kept in a worker's cache of token ids (about 300 MB), and runs of letters (about 150 MB).
+CACHE, CORES = 1_200_000, 800_000
 #: What may follow a word's letters without changing how the letters are split; the apostrophe is not among them.
 TAIL = ".,!?;:*#$%&|)\"("
 
@@ -66,7 +66,7 @@ class Encoder:
         """Ids of unknown words, of many letters' runs in one call."""
         if len(self.words) + len(missing) > CACHE:
             self.words.clear()
-        if len(self.cores) > CACHE // 2:
+        if len(self.cores) > CORES:
             self.cores.clear()
         split, fresh = [], []
         for w in missing:
