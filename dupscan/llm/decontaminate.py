@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Seeds are the word n-grams of the items (lower case, five words; an item that is shorter is one seed).  A bitmap of
-bounded size lets pass the documents' n-grams that may be seeds; hits that lie within an item's length of each other make
+bounded size lets pass the documents' n-grams that may be seeds, and few seeds are looked up exactly; hits that lie within an item's length of each other make
 a passage, which carries its words with a margin.  Passages join items by seed.  For an item only its rare seeds count:
 those that occur in at most twice as many passages as its median seed, and a few more (`SPARE`).  At least half of them
 always count, so an item that leaked a million times is still found, while a common phrase inside it brings no candidates.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from dupscan.llm.shared import U, among, batch, bitmap, cut, ngrams, signed, text_blocks
 
 MATCH, MISS, GAP, SPARE = 2, -1, -1, 16
+#: Up to so many seeds (4 MB) go to the tasks as they are, and a passage has true hits only; more go as a bitmap alone.
+KNOWN = 1 << 19
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -67,13 +69,13 @@ def seeds_of(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return cut(rows.withColumn("number", F.xxhash64("item", "number")).dropDuplicates(["number"]))
 
 
-def passages(docs: DataFrame, id_col: str, text_col: str, seen: np.ndarray, widths: list[int], margin: int) -> DataFrame:
+def passages(docs: DataFrame, id_col: str, text_col: str, seen: tuple[np.ndarray, np.ndarray | None], widths: list[int], margin: int) -> DataFrame:
     """(id, passage, begin, seeds, passage_words) of documents' stretches with hits, `margin` words around them."""
     shared = docs.sparkSession.sparkContext.broadcast(seen)
     schema = pa.schema([("id", pa.int64()), ("passage", pa.int64()), ("begin", pa.int32()), ("seeds", pa.list_(pa.int64())), ("passage_words", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = shared.value
+        have, exact = shared.value
         for rb in it:
             keys = rb.column(0).to_pylist()
             for t in text_blocks(rb.column(1), lower=True):
@@ -81,6 +83,9 @@ def passages(docs: DataFrame, id_col: str, text_col: str, seen: np.ndarray, widt
                 for k in widths:
                     g = ngrams(t.hashes, k)
                     at = np.flatnonzero(among(have, g))
+                    if exact is not None:
+                        place = np.minimum(np.searchsorted(exact, g[at]), len(exact) - 1)
+                        at = at[exact[place] == g[at]] if len(exact) else at[:0]
                     owner = np.searchsorted(t.first, at, "right") - 1
                     inside = at + k <= t.first[owner + 1]
                     at, owner = at[inside], owner[inside]
@@ -107,7 +112,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item
     flat = tests.select("item", "number", F.explode("seeds").alias("seed"))
     bounds = tests.agg(F.max(F.octet_length("item_words") / 8), F.sum(F.size("seeds")), F.collect_set("width")).first()
     margin, count, widths = int(bounds[0] or 0), int(bounds[1] or 0), sorted(bounds[2])
-    found = passages(docs, id_col, text_col, bitmap(flat.select("seed"), count), widths or [n], margin)
+    seeds = flat.select("seed").distinct()
+    exact = np.sort(np.array([r[0] for r in seeds.toLocalIterator()], np.int64).view(U)) if count <= KNOWN else None
+    found = passages(docs, id_col, text_col, (bitmap(seeds, count, 1024), exact), widths or [n], margin)
     hits = found.select("id", "passage", F.explode("seeds").alias("seed"))
     df = flat.join(hits.groupBy("seed").agg(F.count("*").alias("df")), "seed")
     rare = df.join(df.groupBy("number").agg((F.percentile_approx("df", 0.5) * 2 + SPARE).alias("most")), "number").where("df <= most").select("seed", "number")

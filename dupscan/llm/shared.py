@@ -183,9 +183,9 @@ FEW = 400_000
 MAX_BITS = 1 << 27
 
 
-def bitmap(ids: DataFrame, n: int) -> np.ndarray:
+def bitmap(ids: DataFrame, n: int, bits_each: int = 32) -> np.ndarray:
     """Bitmap of the hashes of rows of LONG columns, at most 16 MB whatever n is: a filter that lets false ones pass, never loses one."""
-    bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (32 * n).bit_length()))
+    bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (bits_each * n).bit_length()))
     schema = pa.schema([("b", pa.binary())])
 
     def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
