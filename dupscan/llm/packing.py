@@ -29,20 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupscan.llm.shared import batch, cut
+from dupscan.llm.shared import Texts, U, batch, cut, text_blocks
 
 GROUP, ISLANDS, EPOCHS, POPULATION, GENERATIONS, WELL, LEVELS = 4000, 2, 2, 5, 10, 0.98, 4
-#: Words kept in a worker's cache of token ids (about 300 MB), and runs of letters (about 150 MB).
-CACHE, CORES = 1_200_000, 800_000
+#: Words whose ids a worker keeps: 2^22 slots, 80 MB; and runs of letters, about 130 MB.
+SLOTS, CORES = 1 << 22, 600_000
 #: What may follow a word's letters without changing how the letters are split; the apostrophe is not among them.
 TAIL = ".,!?;:*#$%&|)\"("
 
 
 class Encoder:
-    """Token ids of a text as little-endian bytes, equal to the tokenizer's own.
+    """Token ids of whole texts, equal to the tokenizer's own.
 
-    With a vocabulary that drops white space, a word's ids do not depend on its neighbours, so ids are cached: for words
-    as they stand, and for their letters in lower case if the tokenizer lowers them."""
+    With a vocabulary that drops white space, a word's ids do not depend on its neighbours.  So words are hashed straight
+    from Arrow's buffers, looked up in a table of 64-bit hashes (open addressing, all words of a block at once), and their
+    ids are gathered; only new words are spelt out and encoded, many in one call."""
 
     def __init__(self, path: str) -> None:
         import json
@@ -54,60 +55,111 @@ class Encoder:
         steps = [str(x.get("type")) for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
         self.by_word = bool(splits) and splits[0].get("behavior") == "Removed" and "\\s" in str(splits[0].get("pattern")) and "Lowercase" in steps
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.words: dict[str, bytes] = {}
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.cores: dict[str, bytes] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.place = np.zeros(SLOTS, U), np.zeros(SLOTS, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.length, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 for unknown ones."""
+        out, todo = np.full(len(h), -1, np.int64), np.arange(len(h))
+        at = (h >> U(40)).astype(np.int64) & (SLOTS - 1)
+        while len(todo):
+            k = self.keys[at]
+            hit = k == h[todo]
+            out[todo[hit]] = self.place[at[hit]]
+            on = ~hit & (k != 0)
+            todo, at = todo[on], (at[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        n = self.count + len(h)
+        if n > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros(max(n, len(x)), np.int64)]) for x in (self.begin, self.length))
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32)])
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin[self.count : n] = self.used + np.cumsum(size) - size
+        self.length[self.count : n] = size
+        self.used += len(flat)
+        todo, at, own = h, (h >> U(40)).astype(np.int64) & (SLOTS - 1), np.arange(self.count, n)
+        while len(todo):  # of several new hashes for one free slot the last one written stays, the others go on
+            free = self.keys[at] == 0
+            self.keys[at[free]] = todo[free]
+            mine = free & (self.keys[at] == todo)
+            self.place[at[mine]] = own[mine]
+            todo, own, at = todo[~mine], own[~mine], (at[~mine] + 1) & (SLOTS - 1)
+        self.count = n
 
     def _plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of unknown words, of many letters' runs in one call."""
-        if len(self.words) + len(missing) > CACHE:
-            self.words.clear()
+    def _spell(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: of the letters, known ones or many in one call, and of what follows them."""
+        out: list[bytes | None] = []
+        split, fresh = [], []
         if len(self.cores) > CORES:
             self.cores.clear()
-        split, fresh = [], []
-        for w in missing:
+        for w in words:
             core = w.rstrip(TAIL)
             key = core.lower()
             if key.isalpha() and "Σ" not in core:
-                split.append((w, key, w[len(core) :]))
+                split.append((len(out), key, w[len(core) :]))
+                out.append(None)
                 if key not in self.cores:
                     self.cores[key] = b""
                     fresh.append(key)
             else:
-                self.words[w] = self._plain(w)
+                out.append(self._plain(w))
         for i in range(0, len(fresh), 2000):
             some = fresh[i : i + 2000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            ends = np.searchsorted(owner, np.arange(len(some) + 1)) if len(owner) else np.zeros(1, int)
             if len(owner) and owner[-1] == len(some) - 1 and (np.diff(owner) >= 0).all():
+                ends = np.searchsorted(owner, np.arange(len(some) + 1))
                 for k, key in enumerate(some):
                     self.cores[key] = ids[ends[k] : ends[k + 1]].tobytes()
             else:
                 for key in some:
                     self.cores[key] = self._plain(key)
-        for w, key, tail in split:
+        for i, key, tail in split:
             if tail and tail not in self.cores:
                 self.cores[tail] = self._plain(tail)
-            self.words[w] = self.cores[key] + (self.cores[tail] if tail else b"")
+            out[i] = self.cores[key] + (self.cores[tail] if tail else b"")
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, t: Texts) -> Iterator[bytes]:
+        """Ids of each row of a block, as little-endian unsigned 32-bit numbers."""
         if not self.by_word:
-            return [self._plain(t) for t in texts]
-        plain = [any(s in t for s in self.special) for t in texts]
-        split = [[] if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
-        missing = set().union(*split).difference(self.words) if texts else set()
-        if missing:
-            if len(self.words) + len(missing) > CACHE:
-                self.words.clear()
-                missing = set().union(*split)
-            self._learn(missing)
-        get = self.words.__getitem__
-        return [self._plain(t) if p else b"".join(map(get, s)) for t, s, p in zip(texts, split, plain, strict=True)]
+            yield from (self._plain(t.raw(i).decode("utf-8", "surrogatepass")) for i in range(len(t.rows)))
+            return
+        h = np.where(t.hashes == 0, U(1), t.hashes)
+        place = self._find(h)
+        if (place < 0).any():
+            new = np.flatnonzero(place < 0)
+            if self.count + len(new) > SLOTS // 2:
+                self._empty()
+                new = np.arange(len(h))
+            some, first = np.unique(h[new], return_index=True)
+            spelt = [t.data[t.begin[i] : t.end[i]].tobytes().decode("utf-8", "surrogatepass") for i in new[first].tolist()]
+            self._add(some, self._spell(spelt))
+            place = self._find(h)
+        size = self.length[place]
+        upto = np.r_[0, np.cumsum(size)]
+        ids = self.ids[np.repeat(self.begin[place] - upto[:-1], size) + np.arange(upto[-1])]
+        odd = any(s in t.data.tobytes() for s in self.special)
+        for i in range(len(t.rows)):
+            if odd and any(s in t.raw(i) for s in self.special):
+                yield self._plain(t.raw(i).decode("utf-8", "surrogatepass"))
+            else:
+                yield ids[upto[t.first[i]] : upto[t.first[i + 1]]].astype("<u4").tobytes()
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -129,15 +181,14 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for rb in it:
-            out = []
-            for at in range(0, len(rb), 64):
-                part = rb.slice(at, 64)
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+            keys = rb.column(0).to_pylist()
+            for t in text_blocks(rb.column(1)):
+                out = []
+                for row, ids in zip(t.rows, enc.encode(t), strict=True):
                     ids += b"\0\0\0\0"
                     for k, i in enumerate(range(0, len(ids), 4 * capacity)):
                         p = ids[i : i + 4 * capacity]
-                        out.append((key, k, i // 4, len(p) // 4, zlib.crc32(p)))
-            if out:
+                        out.append((keys[row], k, i // 4, len(p) // 4, zlib.crc32(p)))
                 yield batch(schema, *map(list, zip(*out, strict=True)))
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)

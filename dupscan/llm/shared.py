@@ -60,6 +60,7 @@ class Texts:
         total[0] = 0
         np.cumsum(BYTE[b] * power[: len(b)], out=total[1:])
         self.hashes = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U))
+        self.begin, self.end = s, e
         self.first = np.searchsorted(s, at)
 
     def words(self, i: int) -> np.ndarray:
