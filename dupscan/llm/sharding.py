@@ -50,7 +50,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         load = dict(linked.groupBy("shard").count().collect())
     for _ in range(ROUNDS):
         open_ = [s for s in range(shards) if load.get(s, 0) < room[s]]
-        held = linked.groupBy("g", "shard").agg(F.count("*").alias("n")).withColumn("rank", F.struct("n", F.xxhash64("g", "shard")))
+        held = linked.groupBy("g", "shard").agg(F.count("*").alias("n"))
+        # of equal counts an open shard beats a full one, else rows that cannot come together there stay apart
+        tie = F.when(F.col("shard").isin(open_), F.xxhash64("g", "shard")).otherwise(F.lit(-(1 << 63)))
+        held = held.withColumn("rank", F.struct("n", tie.alias("tie")))
         best = held.where(F.col("shard").isin(open_)).groupBy("g").agg(F.max_by(F.struct("shard", "rank"), "rank").alias("to"))
         wants = linked.join(best, "g").join(held.select("g", "shard", F.col("rank").alias("own")), ["g", "shard"])
         wants = wants.where((F.col("to.shard") != F.col("shard")) & (F.col("to.rank") > F.col("own")))
