@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupscan.llm.shared import U, among, batch, bitmap, cut, ngrams, signed, text_blocks
+from dupscan.llm.shared import U, among, batch, bitmap, cut, ngrams, signed, small_batches, text_blocks
 
 MATCH, MISS, GAP, SPARE = 2, -1, -1, 16
 #: Up to so many seeds (4 MB) go to the tasks as they are, and a passage has true hits only; more go as a bitmap alone.
@@ -108,6 +108,7 @@ def passages(docs: DataFrame, id_col: str, text_col: str, seen: tuple[np.ndarray
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", n: int = 5, threshold: float = 0.5) -> DataFrame:
     """(id_col, item_col, score, begin, end): pairs of a document and an item that it contains, edited or not, with the
     word positions (from 0, end exclusive) of the passage that holds the best alignment."""
+    small_batches(docs.sparkSession)
     tests = seeds_of(items, item_col, text_col, n)
     flat = tests.select("item", "number", F.explode("seeds").alias("seed"))
     bounds = tests.agg(F.max(F.octet_length("item_words") / 8), F.sum(F.size("seeds")), F.collect_set("width")).first()

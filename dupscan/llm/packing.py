@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupscan.llm.shared import Texts, U, batch, cut, text_blocks
+from dupscan.llm.shared import Texts, U, batch, cut, small_batches, text_blocks
 
 GROUP, ISLANDS, EPOCHS, POPULATION, GENERATIONS, WELL, LEVELS = 4000, 2, 2, 5, 10, 0.98, 4
-#: Words whose ids a worker keeps: 2^22 slots, 80 MB; and runs of letters, about 130 MB.
-SLOTS, CORES = 1 << 22, 600_000
+#: Words whose ids a worker keeps: 2^22 slots, 80 MB; and runs of letters, about 65 MB.
+SLOTS, CORES = 1 << 22, 300_000
 #: What may follow a word's letters without changing how the letters are split; the apostrophe is not among them.
 TAIL = ".,!?;:*#$%&|)\"("
 
@@ -328,6 +328,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """PIECES with sequence_id and offset for each piece of docs."""
     from pyspark.sql import Window
 
+    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in PIECES.split(", ")]
     all_ = cut(pieces(docs, path, id_col, text_col, capacity))
     whole = all_.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

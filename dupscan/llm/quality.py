@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupscan.llm.shared import LOWER, SPACE, U, Texts, distinct, text_blocks
+from dupscan.llm.shared import LOWER, SPACE, U, Texts, distinct, small_batches, text_blocks
 
 #: Bound on labelled rows that fitting uses, and on preference pairs for each row.
 SAMPLE, PAIRS = 6000, 8
@@ -119,6 +119,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs and a column score, 0 to 1; a column of this name in docs is replaced."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

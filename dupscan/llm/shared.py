@@ -159,6 +159,13 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: hand them to Python by at most so many at a time, for the rest of the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """The cluster names a shared folder in spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
     sc = spark.sparkContext

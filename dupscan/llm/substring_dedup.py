@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dupscan.llm.shared import Texts, U, among, batch, bitmap, combine, cut, ngrams, signed, text_blocks, words
+from dupscan.llm.shared import Texts, U, among, batch, bitmap, combine, cut, ngrams, signed, small_batches, text_blocks, words
 
 SHARD = 256
 FAR = 1 << 62
@@ -255,6 +255,7 @@ def remove_words(text: str | None, runs: list[tuple[int, int]]) -> tuple[str | N
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """docs with text_col less the repeated windows, and n_words and n_removed (docs' own columns of these names go)."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     docs = docs.select(*kept)
     runs = removals(docs, id_col, text_col, length)
