@@ -88,8 +88,8 @@ def repeated(rows: DataFrame, by: str = "sig") -> DataFrame:
 
 def candidates(rows: DataFrame) -> DataFrame:
     """(sig, n, n_files, first_file, first_pos) of signatures that occur more than once."""
-    agg = rows.groupBy("sig").agg(F.count("*").alias("n"), F.approx_count_distinct("file_id").alias("_a"), F.min(F.struct("file_id", "pos")).alias("f"), F.collect_set("file_id").alias("_s")).where("n > 1")
-    return agg.select("sig", "n", F.size("_s").cast("long").alias("n_files"), F.col("f.file_id").alias("first_file"), F.col("f.pos").cast("long").alias("first_pos"))
+    agg = rows.groupBy("sig").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("n_files"), F.min(F.struct("file_id", "pos")).alias("f")).where("n > 1")
+    return agg.select("sig", "n", "n_files", F.col("f.file_id").alias("first_file"), F.col("f.pos").cast("long").alias("first_pos"))
 
 
 def located(rows: DataFrame, kept: DataFrame, width: int) -> DataFrame:

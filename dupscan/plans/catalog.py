@@ -219,19 +219,19 @@ def similar_documents(spark, sf_dir):
 
 SHORT = f"""turns AS (SELECT conv_id * 100000 + turn AS file_id, regexp_extract_all(lower(coalesce(text, '')), '{SOLID}') AS k FROM conversations WHERE role = 'user' AND strlen(coalesce(text, '')) = length(coalesce(text, ''))),
 joined AS (SELECT file_id, array_to_string(k, ' ') AS s FROM turns),
-near AS (SELECT lag(file_id) OVER o AS file_a, lag(s) OVER o AS sa, file_id AS file_b, s AS sb FROM joined WINDOW o AS (ORDER BY s, file_id))"""
+near AS (SELECT lag(file_id) OVER o AS file_a, lag(s) OVER o AS sa, file_id AS file_b, s AS sb FROM joined WINDOW o AS (PARTITION BY substr(s, 1, 4) ORDER BY s, file_id))"""
 
 
 @query(f"""WITH {SHORT} SELECT file_a, file_b, round(CASE WHEN greatest(length(sa), length(sb)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(sa, sb)::DOUBLE / greatest(length(sa), length(sb)) END, 9) AS similarity FROM near WHERE file_a IS NOT NULL""")
 def levenshtein_pairs(spark, sf_dir):
-    """Edit similarity of user turns next to each other in text order; ASCII turns only, as engines count bytes or
+    """Edit similarity of user turns next to each other among those with the same four first characters; ASCII turns only, as engines count bytes or
     characters."""
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "conversations").withColumn("content", F.coalesce("text", F.lit(""))).where((F.col("role") == "user") & (F.octet_length("content") == F.char_length("content")))
     arrays = clones.text_arrays(rows.select((F.col("conv_id") * 100000 + F.col("turn")).alias("file_id"), "content"))
     joined = arrays.select("file_id", F.col("norm"), T.normalized_string(F.col("norm")).alias("s"))
-    order = Window.orderBy("s", "file_id")
+    order = Window.partitionBy(F.substring("s", 1, 4)).orderBy("s", "file_id")
     near = joined.select(F.lag("file_id").over(order).alias("file_a"), F.lag("norm").over(order).alias("a"), F.col("file_id").alias("file_b"), F.col("norm").alias("b")).where("file_a is not null")
     return near.select("file_a", "file_b", F.round(similarity.METRICS["levenshtein"](F.col("a"), F.col("b")), 9).alias("similarity"))
 
