@@ -1,8 +1,8 @@
 """Substring dedup: suffix automata of reference shards find the word windows that an earlier document has too.
 
 A window of `length` words belongs to one anchor: the least hash among its runs of about a third of that length.  Equal
-windows have equal anchors at equal places, so what an anchor selects in a document, a segment of fewer than twice
-`length` words, can only match segments of the same anchor.  This routes every segment to the one reference shard that
+windows have equal anchors, so what an anchor selects in a document, a segment of fewer than twice `length` words, can
+only match segments of the same anchor.  This routes every segment to the one reference shard that
 can match it; sending automata of all shards past all documents would cost their product.
 
 * Equal segments are one entry of the reference, with the least id that has it.  A segment that is alone in its shard
@@ -103,6 +103,24 @@ class Automaton:
         return out
 
 
+def _calm(g: np.ndarray, view: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of a row's windows, and where they change, where equal hashes lie close: an anchor stays as long as a window
+    holds it and no smaller hash.  Ties have one hash, so equal windows still have equal anchors by hash; a text that
+    repeats a word makes a segment for each few windows instead of one for each."""
+    least = view.min(axis=1)
+    last = np.arange(at + view.shape[1] - 1, at + view.shape[1] - 1 + len(view)) - view[:, ::-1].argmin(axis=1)
+    change = np.r_[np.flatnonzero(least[1:] != least[:-1]) + 1, len(view)]
+    own, first, j, k = np.empty(len(view), np.int64), [], 0, 0
+    while j < len(view):
+        while change[k] <= j:
+            k += 1
+        end = min(int(change[k]), int(last[j]) - at + 1)
+        own[j:end] = last[j]
+        first.append(j)
+        j = end
+    return own, np.array(first)
+
+
 def segments(texts: Texts, length: int) -> Iterator[tuple]:
     """Of each row with a window: row, and by segment the anchor, a hash of its content, first window, number of windows."""
     k = max(1, length // 3)
@@ -116,6 +134,8 @@ def segments(texts: Texts, length: int) -> Iterator[tuple]:
         if a < b:
             own = at[a:b]
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            if 4 * len(first) > b - a + 32:
+                own, first = _calm(g, view[a:b], a)
             last = np.r_[first[1:], b - a] - 1
             yield i, g[own[first]], combine(h[a + first], h[a + last], (last - first).astype(U)), first, last - first + 1
 
