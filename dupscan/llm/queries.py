@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupscan.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, url_filter
+from dupscan.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, twins, url_filter
 from dupscan.llm.shared import documents
 
 
@@ -109,4 +109,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_chat_format, op3_ngram_jaccard_join, op4_best_fit_packing, op5_embedding_near_dedup, op6_url_filters, op7_substring_dedup, op8_quality_classifier, op9_benchmark_decontamination, op10_sharding)}
-ORACLES: dict[str, str] = {"op6_url_filters": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": twins.OP2, "op3_ngram_jaccard_join": twins.OP3, "op5_embedding_near_dedup": twins.OP5, "op6_url_filters": OP6_SQL, "op7_substring_dedup": twins.OP7}
