@@ -26,7 +26,7 @@ class CloneType(str, Enum):
 class DetectionConfig:
     """min_tokens: window length; min_lines: least lines of an instance; similarity_threshold: least Jaccard similarity of
     Type-3; ignore_comments and ignore_whitespace: False keeps such tokens in windows; mask: match identifiers and literals
-    by kind; on_error: 'fail' or 'skip' for files that cannot be read or lexed."""
+    by kind; whole_units: regions of Python code do not reach across top-level definitions; on_error: 'fail' or 'skip' for files that cannot be read or lexed."""
 
     mode: DetectionMode = DetectionMode.BALANCED
     min_tokens: int = 50
@@ -35,6 +35,7 @@ class DetectionConfig:
     ignore_comments: bool = True
     ignore_whitespace: bool = True
     mask: bool = True
+    whole_units: bool = True
     on_error: str = "fail"
 
     def __post_init__(self) -> None:

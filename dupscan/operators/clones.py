@@ -99,6 +99,16 @@ def located(rows: DataFrame, kept: DataFrame, width: int) -> DataFrame:
     return rows.join(first, ["file_id", "pos"]).join(last, ["file_id", "pos"])
 
 
+def within_units(rows: DataFrame, kept: DataFrame, width: int) -> DataFrame:
+    """Window rows that lie in one unit: units begin at keywords of definitions in column 0, as else equal beginnings of
+    neighbouring definitions would run on into each other's matches."""
+    opens = (F.col("token_type") == "Keyword") & F.col("value").isin("def", "class", "async") & (F.col("start_col") == 0)
+    units = kept.select("file_id", "k", F.sum(opens.cast("int")).over(Window.partitionBy("file_id").orderBy("k")).alias("unit"))
+    first = units.select("file_id", F.col("k").alias("pos"), F.col("unit").alias("_u"))
+    last = units.select("file_id", (F.col("k") - (width - 1)).alias("pos"), F.col("unit").alias("_v"))
+    return rows.join(first, ["file_id", "pos"]).join(last, ["file_id", "pos"]).where("_u = _v").drop("_u", "_v")
+
+
 def with_min_lines(rows: DataFrame, min_lines: int) -> DataFrame:
     """Rows of min_lines lines or more whose signature still occurs more than once among them."""
     return repeated(rows.where(T.line_count(F.col("start_line"), F.col("end_line")) >= min_lines))

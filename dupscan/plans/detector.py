@@ -54,7 +54,10 @@ class Detection:
     @cached_property
     def regions(self) -> DataFrame:
         """Maximal regions between neighbours of a signature; min_lines applies to what `file_b` shows of the region."""
-        runs = clones.regions(self.windows.select("file_id", "pos", "sig"), self.config.min_tokens)
+        rows = self.windows.select("file_id", "pos", "sig")
+        if self.config.whole_units:
+            rows = clones.within_units(rows, self.kept, self.config.min_tokens)
+        runs = clones.regions(rows, self.config.min_tokens)
         ends = self.kept.select(F.col("file_id").alias("file_b"), F.col("k").alias("_k"), "start_line", "end_line")
         first = ends.select("file_b", F.col("_k").alias("pos_b"), "start_line")
         last = ends.select("file_b", F.col("_k").alias("_last"), "end_line")

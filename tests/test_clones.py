@@ -143,3 +143,39 @@ def test_config_values():
     for bad in ({"min_tokens": 0}, {"mode": "odd"}, {"similarity_threshold": 2}, {"on_error": "x"}, {"min_lines": -1}):
         with pytest.raises(ValueError):
             DetectionConfig(**bad)
+
+
+THREE = '''"""Processors."""
+
+
+def first(rows):
+    out = []
+    for row in rows:
+        if row > 1:
+            out.append(row * 2)
+    return out
+
+
+def second(items):
+    res = []
+    for item in items:
+        if item > 5:
+            res.append(item * 3)
+    return res
+
+
+def third(values):
+    acc = []
+    for value in values:
+        if value > 9:
+            acc.append(value * 4)
+    return acc
+'''
+
+
+def test_regions_keep_to_definitions(spark):
+    config = DetectionConfig(min_tokens=8, min_lines=3)
+    found = sorted((r.start_line, r.end_line, r.length, r.overlaps) for r in detect(python(spark, THREE), config).regions.collect())
+    assert [f[:2] for f in found] == [(12, 17), (20, 25)] and {f[2] for f in found} == {30} and not any(f[3] for f in found)
+    uncut = detect(python(spark, THREE), config.with_(whole_units=False)).regions.collect()
+    assert max(r.length for r in uncut) > 30
