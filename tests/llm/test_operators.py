@@ -433,3 +433,48 @@ def test_sharding(spark, shards):
     split = sum(len({of[i].shard for i, t in enumerate(texts) if t == f"pair {k}"}) > 1 for k in range(15))
     assert split <= 1
     assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def aligned(docs, items, threshold=0.5):
+    """{(document, item): score} by plain Smith-Waterman over all pairs."""
+    ids = {}
+    code = lambda t: [ids.setdefault(w, len(ids)) for w in words(t, True)]
+    found = {}
+    for d, t in docs:
+        for i, x in items:
+            score = smith_waterman(code(x), code(t)) / (2 * len(code(x)))
+            if score >= threshold:
+                found[d, i] = max(score, found.get((d, i), 0))
+    return found
+
+
+def decontaminated(spark, docs, items):
+    got = decontaminate.contaminated(documents(spark, docs, extra=False), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): r.score for r in got}
+
+
+def test_decontamination_of_partial_copies(spark):
+    """Five documents hold all of the item, many its first half only: all are found, however many they are."""
+    rng = random.Random(4)
+    w = [f"i{k}" for k in range(40)]
+    fill = lambda: " ".join(f"f{rng.randrange(5000)}" for _ in range(10))
+    docs = [(k, f"{fill()} {' '.join(w if k < 5 else w[:20])} {fill()}") for k in range(300)]
+    got = decontaminated(spark, docs, [(1, " ".join(w))])
+    assert got == {(k, 1): 1.0 if k < 5 else 0.5 for k in range(300)}
+
+
+@pytest.mark.parametrize("hits", [1 << 21, 16])
+def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    monkeypatch.setattr(decontaminate, "TABLE", 100)
+    rng = random.Random(12)
+    items = [(k, " ".join(f"i{rng.randrange(9 if k % 2 else 60)}" for _ in range(rng.randrange(1, 30)))) for k in range(24)]
+    docs = []
+    for k in range(60):
+        w = items[k % 24][1].split()
+        for _ in range(rng.randrange(len(w) + 1)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = [f"x{rng.randrange(50)}"] if rng.random() < 0.7 else []
+        docs.append((k, " ".join([*(f"i{rng.randrange(60)}" for _ in range(rng.randrange(20))), *w, *(f"f{k}" for k in range(rng.randrange(5)))])))
+    expected = aligned(docs, items)
+    assert len(expected) > 60 and decontaminated(spark, docs, items) == expected
