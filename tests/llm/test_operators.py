@@ -478,3 +478,20 @@ def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch, hits)
         docs.append((k, " ".join([*(f"i{rng.randrange(60)}" for _ in range(rng.randrange(20))), *w, *(f"f{k}" for k in range(rng.randrange(5)))])))
     expected = aligned(docs, items)
     assert len(expected) > 60 and decontaminated(spark, docs, items) == expected
+
+
+@pytest.mark.parametrize("step", [2, 3, 4, 5])
+def test_decontamination_of_copies_edited_at_every_few_words(spark, step):
+    """Every third to fifth word replaced leaves no run of five, every second one inserted no two words side by side."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(24 + k))) for k in range(4)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        if step == 2:
+            w = [x for j, v in enumerate(w) for x in (v, f"x{j}")]
+        else:
+            w[step - 1 :: step] = [f"x{j}" for j in range(len(w[step - 1 :: step]))]
+        docs.append((k, f"before it {' '.join(w)} after it"))
+    expected = aligned(docs, items)
+    assert set(expected) == {(k, k) for k in range(4)}
+    assert decontaminated(spark, docs, items) == expected
