@@ -122,6 +122,26 @@ def test_jaccard_long_lists_and_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == classes(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_jaccard_least_need_equals_brute_force(spark, percent):
+    def need(a, b):
+        least = -(-percent * (a + b) // (100 + percent))
+        return max(1, least - -(-percent * max(a, b) // 100) + 1)
+
+    sizes = range(2, 121)
+    rows = [(n, lo, hi) for n in sizes for lo in range(-(-percent * n // 100), n + 1) for hi in range(n, 100 * n // percent + 1)]
+    got = spark.createDataFrame(rows, "n long, lo long, hi long").withColumn("c", jaccard_join.least_need(F.col("n"), F.col("lo"), F.col("hi"), percent)).collect()
+    assert [r.c for r in got] == [min(need(r.n, b) for b in range(r.lo, r.hi + 1)) for r in got]
+
+
+def test_jaccard_pair_that_shares_just_the_needed_keys(spark):
+    """apart() alone, on lists where the key that a pair shares is the longest of each set's: sizes 18 and 19 need one."""
+    lists = {1: [(1, 18), (2, 18)], 2: [(1, 18), (3, 20)], 3: [(4, 19), (5, 18)], 4: [(4, 19), (6, 20)], 9: [(1, 18), (4, 19), (7, 20), (8, 20)]}
+    rows = [(key, name, size, False, name, len(members), None) for key, members in lists.items() for name, size in members]
+    posts = spark.createDataFrame(rows, "key long, name long, size long, light boolean, c long, len long, long long")
+    assert (1, 4) in {tuple(r) for r in jaccard_join.apart(posts, None, 85).collect()}
+
+
 def test_jaccard_odd_rows(spark):
     empty = documents(spark, [])
     assert jaccard_join.jaccard_classes(empty).count() == 0
