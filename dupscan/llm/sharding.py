@@ -4,7 +4,8 @@ Documents of one group (equal texts) are linked, as a clique that is never spell
 a shard are its group's rows there, one aggregated count.  Each round joins these counts to the documents; a document of a
 split group wants to move to the shard that holds most of its group.  A shard takes no more than its quota of room, dealt
 over buckets so that no single task ranks all candidates.  Full shards are closed, so a group larger than a shard fills
-one and gathers in the next.  Documents without links fill the shards up at the end; they cut no edge wherever they are.
+one and gathers in the next.  Rounds go on until none moves a row: each move raises the sum of the squared counts of
+groups in shards, so they end.  Documents without links fill the shards up at the end; they cut no edge wherever they are.
 
 Law `rows`: shard sizes differ by at most one row.  Slots are gapless from 0 in each shard.
 
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 
 from dupscan.llm.shared import cut, parts
 
-ROUNDS = 8
-
 
 def _spread(df: DataFrame, by: list[str], order: list[str], buckets: int, what: str) -> DataFrame:
     """df with a number (from 0, gapless within by) in column `what`: ranks within buckets, plus the buckets' offsets."""
@@ -48,7 +47,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if any(load.get(s, 0) > room[s] for s in range(shards)):  # the links' start may overfill: deal them by rank
         linked = cut(_spread(linked.drop("shard"), [], ["id", "crc"], buckets, "at").withColumn("shard", F.pmod("at", F.lit(shards)).cast("int")).drop("at"))
         load = dict(linked.groupBy("shard").count().collect())
-    for _ in range(ROUNDS):
+    while True:
         open_ = [s for s in range(shards) if load.get(s, 0) < room[s]]
         held = linked.groupBy("g", "shard").agg(F.count("*").alias("n"))
         # of equal counts an open shard beats a full one, else rows that cannot come together there stay apart

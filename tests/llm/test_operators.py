@@ -515,3 +515,12 @@ def test_decontamination_of_copies_edited_at_every_few_words(spark, step):
     expected = aligned(docs, items)
     assert set(expected) == {(k, k) for k in range(4)}
     assert decontaminated(spark, docs, items) == expected
+
+
+def test_sharding_gathers_a_group_of_many_shards(spark):
+    """A third of all rows are one text: it fills its shards one after the other and leaves the others alone."""
+    texts = [*["same"] * 400, *[f"single {i}" for i in range(800)]]
+    got = sharding.shard_documents(documents(spark, texts, extra=False), shards=40).collect()
+    held = collections.Counter(r.shard for r in got if r.doc_id < 400)
+    assert len(held) == 14 and sorted(held.values())[1:] == [30] * 13
+    assert set(collections.Counter(r.shard for r in got).values()) == {30}
