@@ -30,6 +30,17 @@ def sharing_pairs(rows: DataFrame) -> DataFrame:
     return files.select(before.alias("file_a"), F.col("file_id").alias("file_b")).where("file_a is not null").distinct()
 
 
+def all_sharing_pairs(rows: DataFrame) -> DataFrame:
+    """(file_a, file_b), file_a < file_b: all pairs of files that share a window.  Of windows that the same files hold
+    (known by their number and two sums of hashes) only one makes pairs."""
+    files = rows.select("sig", "file_id").distinct()
+    total = lambda seed: F.sum(F.xxhash64("file_id", F.lit(seed)).cast("decimal(38,0)"))
+    sets = files.groupBy("sig").agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2")).where("n > 1")
+    own = files.join(sets.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+    a, b = own.withColumnRenamed("file_id", "file_a"), own.withColumnRenamed("file_id", "file_b")
+    return a.join(b, "sig").where("file_a < file_b").select("file_a", "file_b").distinct()
+
+
 def similar_pairs(pairs: DataFrame, token_arrays: DataFrame, metric: str = "jaccard", threshold: float = 0.0) -> DataFrame:
     """(file_a, file_b, similarity) of the pairs that reach the threshold."""
     a = token_arrays.select(F.col("file_id").alias("file_a"), F.col("norm").alias("_a"))

@@ -67,7 +67,7 @@ class Detection:
     @cached_property
     def similar(self) -> DataFrame:
         """Type-3: files that share a window and whose token sets are similar enough, but not equal token sequences."""
-        pairs = similarity.sharing_pairs(self.windows)
+        pairs = similarity.all_sharing_pairs(self.windows)
         found = similarity.similar_pairs(pairs, self.arrays, "jaccard", self.config.similarity_threshold)
         prints = self.arrays.select("file_id", F.md5(F.array_join("norm", " ")).alias("_p"))
         a, b = prints.toDF("file_a", "_pa"), prints.toDF("file_b", "_pb")

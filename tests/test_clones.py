@@ -112,6 +112,15 @@ def test_similar_files_are_type_3(spark):
     assert {(r.file_a, r.file_b) for r in found} == {(1, 2), (2, 3)} and all(r.similarity == pytest.approx(10 / 11) for r in found)
 
 
+def test_similar_files_with_another_file_between(spark):
+    """File 2 holds every window that 1 and 3 share inside a longer text; 1 and 3 are still compared."""
+    body = [f"w{chr(97 + i)}" for i in range(20)]
+    texts = {1: [*body, "xa"], 2: [*body, *(f"long{chr(97 + i)}" for i in range(20))], 3: [*body, "ya"]}
+    files = spark.createDataFrame([(i, str(i), " ".join(w), "text") for i, w in texts.items()], FILES)
+    found = detect(files, DetectionConfig(min_tokens=5, min_lines=1, similarity_threshold=0.85, mask=False)).similar.collect()
+    assert {(r.file_a, r.file_b) for r in found} == {(1, 3)} and found[0].similarity == pytest.approx(20 / 22)
+
+
 def test_metric_registry(spark):
     from pyspark.sql import functions as F
 
