@@ -7,8 +7,9 @@ pages are concatenated as token streams, a suffix array sorted to depth `RUN` fi
 `PAGES` or more distinct pages, covered tokens are removed, and the unique runs stay.
 
 The bare method, over whole pages, would take out articles that several pages of a host carry; the text asked for has
-them.  So only undecided blocks go into the arrays.  Hosts are split into shards of about `SHARD` pages: what is repeated
-on most pages of a host is repeated in each shard, and a host with a third of all pages is many tasks.
+them.  So only undecided blocks count.  Across a host's pages runs are known by 64-bit hashes and counted with partial
+sums, over the whole host however large it is; `repeated` is the suffix array that gives the same for a few pages.  Tasks
+take at most `SHARD` pages at once.
 
 Nulls and ties: a null or empty page has empty text; a null url counts as the host ''; pages with equal token streams are
 one page when repetition is counted; rows that repeat an id are pages of their own; other columns are ignored.
@@ -21,12 +22,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupscan.llm.shared import batch, small_batches
+from dupscan.llm.shared import U, batch, ngrams, signed, small_batches
 
 RUN, PAGES, SHARD = 6, 3, 400
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -168,6 +169,20 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
     return [flags[e - k - 1 : e - 1] for e, k in zip(ends, lens, strict=True)]
 
 
+def _tokens(found: list[str]) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for b in found for t in b.split()]
+
+
+def stream_name(found: list[str]) -> bytes:
+    """128 bits of the token stream of a page's blocks."""
+    return xxhash.xxh3_128_digest(b" ".join(_tokens(found)))
+
+
+def runs_of(found: list[str]) -> np.ndarray:
+    """One hash for each run of RUN tokens, by position."""
+    return ngrams(np.array([xxhash.xxh3_64_intdigest(t) for t in _tokens(found)], U), RUN)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) for each row of pages."""
     small_batches(pages.sparkSession)
@@ -187,40 +202,58 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if out:
                     yield batch(schema, *map(list, zip(*out, strict=True)))
 
-    flat = pa.schema([("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("blocks", pa.list_(pa.string()))])
+    flat = pa.schema([("host", pa.string()), ("stream", pa.binary()), ("runs", pa.list_(pa.int64()))])
+    full = pa.schema([("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("stream", pa.binary()), ("blocks", pa.list_(pa.string()))])
+
+    def undecided(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        for rb in it:
+            for at in range(0, len(rb), SHARD):
+                out = []
+                for key, url, page in zip(*(c.to_pylist() for c in rb.slice(at, SHARD).columns), strict=True):
+                    if not page or re.search(r"<(?:article|main)[\s>]", page) and has_main(page):
+                        continue
+                    found = blocks(page)
+                    if found and not any(main for _, main in found):
+                        host = re.match(r"[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+                        out.append((key, url, host[1].lower() if host else "", [t for t, _ in found]))
+                if out:
+                    yield out
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages_ in undecided(it):
+            out = [(host, stream_name(bs), signed(np.unique(runs_of(bs))).tolist()) for _, _, host, bs in pages_]
+            yield batch(flat, *map(list, zip(*out, strict=True)))
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages_ in undecided(it):
+            yield batch(full, *map(list, zip(*((key, url, host, stream_name(bs), bs) for key, url, host, bs in pages_), strict=True)))
 
-    def undecided(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    streams = rows.mapInArrow(counted, "host string, stream binary, runs array<long>").dropDuplicates(["host", "stream"])
+    runs = streams.select("host", "stream", F.explode("runs").alias("run"))
+    often = runs.groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("host", "run")
+    gone = runs.join(often, ["host", "run"]).groupBy("host", "stream").agg(F.collect_list("run").alias("gone"))
+    loose = rows.mapInArrow(whole, "id long, url string, host string, stream binary, blocks array<string>").join(gone, ["host", "stream"], "left")
+
+    def unique(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
             out = []
-            for key, url, page in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                if not page or re.search(r"<(?:article|main)[\s>]", page) and has_main(page):
-                    continue
-                found = blocks(page)
-                if found and not any(main for _, main in found):
-                    host = re.match(r"[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-                    out.append((key, url, host[1].lower() if host else "", [t for t, _ in found]))
+            for key, url, bs, known in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                starts = np.flatnonzero(np.isin(signed(runs_of(bs)), np.array(known or [], np.int64)))
+                split = [b.split() for b in bs]
+                covered = np.zeros(sum(map(len, split)) + 1, np.int64)
+                np.add.at(covered, starts, 1)
+                np.add.at(covered, starts + RUN, -1)
+                flags, at, kept = np.cumsum(covered) > 0, 0, []
+                for b in split:
+                    own = " ".join(t for t, g in zip(b, flags[at : at + len(b)], strict=True) if not g)
+                    at += len(b)
+                    if own:
+                        kept.append(own)
+                text = "\n".join(kept)
+                out.append((key, url, text, len(text)))
             if out:
-                yield batch(flat, *map(list, zip(*out, strict=True)))
-
-    loose = rows.mapInArrow(undecided, "id long, url string, host string, blocks array<string>")
-    sizes = loose.groupBy("host").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    dealt = loose.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.col("shards")))
-
-    def unique(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "url"], kind="stable")
-        split = [[b.split() for b in bs] for bs in group["blocks"]]
-        flags = repeated([[t for b in bs for t in b] for bs in split])
-        texts = []
-        for bs, gone in zip(split, flags, strict=True):
-            at, kept = 0, []
-            for b in bs:
-                own = " ".join(t for t, g in zip(b, gone[at : at + len(b)], strict=True) if not g)
-                at += len(b)
-                if own:
-                    kept.append(own)
-            texts.append("\n".join(kept))
-        return pd.DataFrame({"id": group["id"].to_numpy(), "url": group["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
-
-    rest = dealt.groupBy("host", "shard").applyInPandas(unique, "id long, url string, text string, n_chars long")
+                yield batch(schema, *map(list, zip(*out, strict=True)))
+
+    rest = loose.select("id", "url", "blocks", "gone").mapInArrow(unique, "id long, url string, text string, n_chars long")
     done = rows.mapInArrow(decided, "id long, url string, text string, n_chars long").unionByName(rest)
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

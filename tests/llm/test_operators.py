@@ -349,6 +349,20 @@ def test_html_suffix_array(spark, monkeypatch):
     assert all(got[100 + k] == "the very same page on this host twice over" for k in range(4))
 
 
+def test_html_runs_are_counted_over_the_whole_host(spark, monkeypatch):
+    """Boilerplate on few of many pages of a host goes however the pages are dealt, as one suffix array over all has it."""
+    monkeypatch.setattr(html_extract, "SHARD", 4)
+    line = "all rights reserved by the owners of this site"
+    rows = [(k, f"http://a.example/{k}", f"<p>u{k} v{k} w{k} {line if k % 25 == 0 else ''} x{k}</p>") for k in range(100)]
+    rows += [(200 + k, f"http://b.example/{k}", f"<p>y{k} {line} z{k}</p>") for k in range(2)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for own in (rows[:100], rows[100:]):
+        streams = [r[2][3:-4].split() for r in own]
+        for r, s, gone in zip(own, streams, html_extract.repeated(streams), strict=True):
+            assert got[r[0]] == " ".join(t for t, g in zip(s, gone, strict=True) if not g)
+    assert got[25] == "u25 v25 w25 x25" and line in got[200]
+
+
 def test_repeated_runs_equal_brute_force():
     rng = random.Random(8)
     for _ in range(30):
