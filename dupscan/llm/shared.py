@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -19,25 +18,28 @@ EMPTY = np.empty(0, U)
 
 
 BLOCK = 1 << 18
-#: A 64-bit value for each byte, from a rule; white space and lower case of A-Z by byte.
-BYTE = (np.arange(1, 257, dtype=U) * MIX1) ^ (np.arange(1, 257, dtype=U) * MIX3 >> U(17))
+#: White space and lower case of A-Z by byte; masks of the first k bytes of eight.
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-POWER = INVERSE = np.ones(1, U)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global POWER, INVERSE
-    if len(POWER) < n:
-        n = max(n, BLOCK)
-        with np.errstate(over="ignore"):
-            POWER = np.cumprod(np.r_[U(1), np.full(n - 1, MIX1)], dtype=U)
-            INVERSE = np.cumprod(np.r_[U(1), np.full(n - 1, U(pow(int(MIX1), -1, 1 << 64)))], dtype=U)
-        if n > 8 * BLOCK:  # for one very long text only
-            power, inverse = POWER, INVERSE
-            POWER = INVERSE = np.ones(1, U)
-            return power, inverse
-    return POWER, INVERSE
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Words of more bytes are hashed one by one.
+LONGEST = 64
+
+
+def hash_words(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words b[s:e].  All words take in eight bytes at a time, each step mixed, so a word of up to
+    eight bytes shares its hash with no other of its length and longer ones only by chance."""
+    size = e - s
+    eight = np.ndarray(len(b) + 1, "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(U) * MIX1 ^ (eight[s] & FIRST[np.minimum(size, 8)]))
+    on, at = np.flatnonzero(size > 8), 8
+    while len(on) and at < LONGEST:
+        h[on] = mix(h[on] * MIX3 + (eight[s[on] + at] & FIRST[np.minimum(size[on] - at, 8)]))
+        at += 8
+        on = on[size[on] > at]
+    for i in on.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(b[s[i] : e[i]].tobytes())
+    return h
 
 
 class Texts:
@@ -46,7 +48,6 @@ class Texts:
     def __init__(self, rows: range, data: np.ndarray, at: np.ndarray, lower: bool) -> None:
         self.rows, self.data, self.at = rows, data, at
         b = LOWER[data] if lower else data
-        power, inverse = _powers(len(b) + 1)
         solid = ~SPACE[b]
         begin, end = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]
@@ -56,10 +57,7 @@ class Texts:
         own = at[1:][at[:-1] < at[1:]] - 1
         end[own] = solid[own]
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        total = np.empty(len(b) + 1, U)
-        total[0] = 0
-        np.cumsum(BYTE[b] * power[: len(b)], out=total[1:])
-        self.hashes = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U))
+        self.hashes = hash_words(b, s, e) if len(s) else EMPTY
         self.begin, self.end = s, e
         self.first = np.searchsorted(s, at)
 
@@ -167,23 +165,38 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
+    """The cluster names a shared folder in spark.checkpoint.dir; only a local session without one gets a folder of its
+    own, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: short plans, nothing is lost with an executor."""
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there: short plans, nothing is lost with an executor.
+
+    What nothing needs from then on goes at once: the shuffle files that df took (a later use of df would make them
+    anew), and the files of `done`, earlier results of cut()."""
     checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc, plan = df.sparkSession.sparkContext._jsc.sc(), df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan" and sc.cleaner().isDefined():
+        for k in plan.context().shuffleIds().keySet().toArray():
+            sc.cleaner().get().doCleanupShuffle(k, False)
+    for old in done:
+        discard(old)
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and checkpoints of frames that nothing refers to any more; else they stay until
-    the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(df: DataFrame) -> None:
+    """Delete the files of a result of cut() that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Rows of a few numbers that may be broadcast, after counting them: some 20 MB.
@@ -230,12 +243,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: smaller neighbours of u, and u itself, go to the smallest
         low2 = e1.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         e2 = e1.join(low2, e1.u == low2.w)
-        e = cut(e2.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("w", "m")).distinct().toDF("u", "v"))
+        e = cut(e2.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("w", "m")).distinct().toDF("u", "v"), e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    release(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
