@@ -5,17 +5,19 @@ windows have equal anchors, so what an anchor selects in a document, a segment o
 only match segments of the same anchor.  This routes every segment to the one reference shard that
 can match it; sending automata of all shards past all documents would cost their product.
 
-* Equal segments are one entry of the reference, with the least id that has it.  A segment that is alone in its shard
-  matches only itself and needs no automaton.
-* Else a task builds the generalised suffix automaton of the shard's segments, hands the least id of each up the suffix
-  links, and streams the segments through it; where the match reaches `length` words the state names the least id.
+* Equal segments are one entry of the reference, with the least id that has it.
+* A task builds the generalised suffix automaton of a shard's segments, hands the least id of each up the suffix links,
+  and streams the segments through it; where the match reaches `length` words the state names the least id.
 * A shard of more than `SHARD` segments is split by window hash, so an automaton stays below about 25,000 words however
-  often a passage recurs.
+  often a passage recurs.  What the parts find is put together to one row for a segment before its members are joined.
+* A first pass finds anchors that very many segments have; their segments are dealt into parts of about `PART`, so no
+  task takes in all occurrences of one passage.
 
 All words under windows that have a smaller id elsewhere are removed; windows are judged on the input.
 
 Nulls and ties: a null text has no words; a null id neither removes nor is removed; rows with one id are separate texts
-that never remove words from each other; a word is removed once however many windows cover it.
+that never remove words from each other; a word is removed once however many windows cover it; no rows give no rows; a
+text of any length is cut into segments like others, and other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dupscan.llm.shared import Texts, U, among, batch, bitmap, combine, cut, ngrams, signed, small_batches, text_blocks, words
+from dupscan.llm.shared import Texts, U, among, batch, bitmap, combine, cut, mix, ngrams, signed, small_batches, text_blocks, words
 
 SHARD = 256
+#: Segments of one anchor that lie together; anchors known to have more are at most this many (2 MB), which changes speed only.
+PART, KNOWN = 20_000, 1 << 17
 FAR = 1 << 62
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -148,15 +152,48 @@ def _rows(it: Iterator[pa.RecordBatch], length: int):
                 yield keys[texts.rows[i]], texts, i, *found
 
 
+def hot_anchors(src: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors (sorted) that more than PART segments have, and into how many parts to deal their segments."""
+    schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
+
+    def count(it):
+        held, room = [], 0
+
+        def often():
+            a, n = np.unique(np.concatenate(held), return_counts=True)
+            return a[n >= 16], n[n >= 16]
+
+        for *_, a, _, _, _ in _rows(it, length):
+            held.append(a)
+            room += len(a)
+            if room > 500_000:
+                a, n = often()
+                yield batch(schema, signed(a), n)
+                held, room = [], 0
+        if held:
+            a, n = often()
+            yield batch(schema, signed(a), n)
+
+    found = src.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > PART).orderBy(F.desc("n"), "anchor").limit(KNOWN).collect()
+    a = np.array([r[0] for r in found], np.int64).view(U)
+    order = np.argsort(a)
+    return a[order], np.array([r[1] // PART + 1 for r in found], U)[order]
+
+
 def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """(id, version, first, last): runs of words to remove; version is the text's hash, as rows may share an id."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())])
+    schema = pa.schema([("part", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())])
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(src, length))
 
     def list_all(it):
-        held, room = [], 0
+        held, room, (often, parts) = [], 0, hot.value
         for key, texts, i, a, s, f, w in _rows(it, length):
-            held.append((signed(a), signed(s), np.full(len(a), key), np.full(len(a), texts.version(i)), f.astype(np.int32), w.astype(np.int32)))
+            part = a
+            if len(often):
+                at = np.minimum(np.searchsorted(often, a), len(often) - 1)
+                part = np.where(often[at] == a, combine(a, mix(np.full(len(a), key).view(U)) % parts[at]), a)
+            held.append((signed(part), signed(a), signed(s), np.full(len(a), key), np.full(len(a), texts.version(i)), f.astype(np.int32), w.astype(np.int32)))
             room += len(a)
             if room > 100_000:
                 yield batch(schema, *map(np.concatenate, zip(*held, strict=True)))
@@ -164,19 +201,14 @@ def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
         if held:
             yield batch(schema, *map(np.concatenate, zip(*held, strict=True)))
 
-    segs = src.mapInArrow(list_all, "anchor long, segment long, id long, version long, first int, windows int").repartition("anchor")
-    stats = segs.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("segment").alias("x"), F.max("segment").alias("y"), F.max(F.col("version") + F.col("first") + F.col("windows")).alias("z"))
+    segs = src.mapInArrow(list_all, "part long, anchor long, segment long, id long, version long, first int, windows int").repartition("part")
+    # what lies together has one anchor; a part of a hot one is kept whole
+    stats = segs.groupBy("part").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("anchor").alias("a"), F.max(F.xxhash64("segment", "version", "first", "windows")).alias("z"))
     # z: as all columns are used, the exchange above serves both sides
-    stats = stats.where("least < most and z is not null").select("anchor", "least", (F.col("x") == F.col("y")).alias("alone"))
-    shared = cut(segs.join(stats, "anchor").where("not alone or id > least"))
-    end = F.col("first") + F.col("windows") + (length - 2)
-    plain = shared.where("alone").select("id", "version", "first", end.alias("last"))
-
-    mixed = shared.where("not alone")
-    refs = cut(mixed.groupBy("anchor", "segment").agg(F.min("id").alias("id")))
+    stats = stats.where("(least < most or part <> a) and z is not null").select("part")
+    shared = cut(segs.join(stats, "part", "left_semi").drop("part"))
+    refs = cut(shared.groupBy("anchor", "segment").agg(F.min("id").alias("id")))
     n = refs.count()
-    if not n:
-        return plain
     seen = docs.sparkSession.sparkContext.broadcast(bitmap(refs.select("anchor", "segment", "id"), n))
     word_schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("id", pa.int64()), ("items", pa.binary())])
 
@@ -240,21 +272,25 @@ def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
             yield batch(found_schema, *map(list, zip(*out, strict=True)))
 
     found = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(match, "anchor long, segment long, shift int, least array<long>")
-    hits = mixed.drop("least").join(found, ["anchor", "segment"]).where(F.array_min("least") < F.col("id"))
+    # of a split shard's windows one row for a segment, no more than `length` entries
+    found = found.groupBy("anchor", "segment").agg(F.min(F.array_min("least")).alias("earliest"), F.collect_list(F.struct("shift", "least")).alias("found"))
+    hits = shared.join(found, ["anchor", "segment"]).where(F.col("earliest") < F.col("id"))
     run_schema = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def merge(it):
         """Runs of windows with an earlier owner, as runs of words."""
         for rb in it:
             out = []
-            for key, version, first, least in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                earlier = np.flatnonzero(np.diff(np.r_[False, np.array(least) < key, False].astype(int)))
+            for key, version, first, windows, parts in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                flags = np.zeros(windows + 2, bool)
+                for part in parts:
+                    flags[1 + part["shift"] : 1 + part["shift"] + len(part["least"])] = np.array(part["least"]) < key
+                earlier = np.flatnonzero(np.diff(flags.astype(int)))
                 out.extend((key, version, first + a, first + b + length - 2) for a, b in zip(earlier[::2].tolist(), earlier[1::2].tolist(), strict=True))
             if out:
                 yield batch(run_schema, *map(list, zip(*out, strict=True)))
 
-    joined = hits.select("id", "version", (F.col("first") + F.col("shift")).alias("first"), "least").mapInArrow(merge, "id long, version long, first int, last int")
-    return plain.unionByName(joined)
+    return hits.select("id", "version", "first", "windows", "found").mapInArrow(merge, "id long, version long, first int, last int")
 
 
 def remove_words(text: str | None, runs: list[tuple[int, int]]) -> tuple[str | None, int, int]:

@@ -206,9 +206,10 @@ def removed(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [256, 2])
-def test_substring_dedup(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "part"), [(256, 20_000), (2, 20_000), (2, 15)])
+def test_substring_dedup(spark, monkeypatch, shard, part):
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
+    monkeypatch.setattr(substring_dedup, "PART", part)
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(14)]
     rows = []
