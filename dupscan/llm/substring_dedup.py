@@ -37,7 +37,7 @@ from dupscan.llm.shared import Texts, U, among, batch, bitmap, combine, cut, mix
 
 SHARD = 256
 #: Segments of one anchor that lie together; anchors known to have more are at most this many (2 MB), which changes speed only.
-PART, KNOWN = 20_000, 1 << 17
+PART, KNOWN = 4096, 1 << 17
 FAR = 1 << 62
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -206,7 +206,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
     stats = segs.groupBy("part").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("anchor").alias("a"), F.max(F.xxhash64("segment", "version", "first", "windows")).alias("z"))
     # z: as all columns are used, the exchange above serves both sides
     stats = stats.where("(least < most or part <> a) and z is not null").select("part")
-    shared = cut(segs.join(stats, "part", "left_semi").drop("part"))
+    shared = cut(segs.join(stats, "part").drop("part"))  # a semi-join would go below the exchange
     refs = cut(shared.groupBy("anchor", "segment").agg(F.min("id").alias("id")))
     n = refs.count()
     seen = docs.sparkSession.sparkContext.broadcast(bitmap(refs.select("anchor", "segment", "id"), n))
