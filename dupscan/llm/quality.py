@@ -8,8 +8,10 @@ strength to `THRESHOLD`, so that score >= THRESHOLD keeps what ranks above the q
 Only fitting uses a sample: at most `SAMPLE` labelled rows, the ones with the least hash of their id; scores cover all.
 
 Nulls and ties: a null or empty text has the features of an empty text and gets a score; labelled ids that are null or
-have a null label are not used; rows that repeat an id count each; where one label is missing every score is the share of
-label 1 (0.5 without labels); columns beside id, text and label are ignored.
+have a null label are not used; an id counts once in fitting, with its greatest label and of several rows with the text of
+the least hash, and each of its rows gets a score; where one label is missing every score is the share of label 1 (0.5
+without labels); columns beside id, text and label are ignored; no documents give no rows; a text of any length has one
+row of features.
 """
 
 from __future__ import annotations
@@ -101,18 +103,20 @@ def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in it:
         for t in text_blocks(rb.column(0)):
             x = features(t)
-            yield pa.RecordBatch.from_arrays([rb.column(1).slice(t.rows.start, len(t.rows)), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+            at = t.rows.start, len(t.rows)
+            yield pa.RecordBatch.from_arrays([rb.column(1).slice(*at), pa.array(list(x), pa.list_(pa.float64())), rb.column(2).slice(*at)], names=["y", "x", "id"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """Fit on at most SAMPLE rows of labels (id_col, label_col) joined with docs."""
-    picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(SAMPLE)
-    rows = docs.join(F.broadcast(picked), docs[id_col] == F.col("_id")).select(F.col(text_col), "_y")  # SAMPLE rows of 12 bytes at most
-    got = rows.mapInArrow(_features, "y int, x array<double>").toPandas()
+    picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))  # SAMPLE rows of 12 bytes at most
+    one = rows.groupBy("_id").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"), F.max("_y").alias("_y"))  # partial sums first: a repeated id is one row for each task
+    got = one.select("_t", "_y", F.col("_id").cast("string")).mapInArrow(_features, "y int, x array<double>, id string").toPandas()
     if not len(got):
         return fit(np.zeros((0, 0)), np.zeros(0))
-    order = np.lexsort(np.vstack(got["x"]).T[:8])  # the sums must not depend on the order in which tasks end
-    return fit(np.vstack(got["x"])[order], got["y"].to_numpy()[order])
+    got = got.sort_values("id")  # the sums must not depend on the order in which tasks end
+    return fit(np.vstack(got["x"]), got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
