@@ -14,8 +14,9 @@ Each candidate is aligned: match 2, mismatch -1, gap -1, local.  Its score is th
 whole item would have; pairs with a score of at least `threshold` are contaminated.
 
 Nulls and ties: null, empty or blank texts and items have no seeds and match nothing; rows with a null id match nothing;
-items that repeat an id each count, the best score of an id is kept; rows that repeat a document's id are one document
-here, with its best score; other columns are ignored; empty tables give no rows.
+items of fewer than `least_words` words are ignored, as a common word would mark every document that has it; items that
+repeat an id each count, the best score of an id is kept; rows that repeat a document's id are one document here, with its
+best score; texts of any length are searched whole; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -58,15 +59,15 @@ def pairs_of(w: np.ndarray, apart: int) -> np.ndarray:
     return combine(w[: len(w) - apart], w[apart:]) if apart else mix(w)
 
 
-def items_of(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, words) of each distinct item row that has an id and words."""
+def items_of(items: DataFrame, id_col: str, text_col: str, least_words: int = 1) -> DataFrame:
+    """(item, words) of each distinct item row that has an id and enough words."""
     schema = pa.schema([("item", pa.int64()), ("version", pa.int64()), ("words", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
             keys = rb.column(0).to_pylist()
             for t in text_blocks(rb.column(1), lower=True):
-                out = [(keys[row], t.version(i), t.words(i).tobytes()) for i, row in enumerate(t.rows) if keys[row] is not None and len(t.words(i))]
+                out = [(keys[row], t.version(i), t.words(i).tobytes()) for i, row in enumerate(t.rows) if keys[row] is not None and len(t.words(i)) >= max(1, least_words)]
                 if out:
                     yield batch(schema, *map(list, zip(*out, strict=True)))
 
@@ -152,10 +153,10 @@ class Table:
             yield int(row[own[x]]), int(item[x]), int(a[x]), int(b[y - 1])
 
 
-def tables(items: DataFrame, id_col: str, text_col: str, threshold: float) -> Iterator[Table]:
+def tables(items: DataFrame, id_col: str, text_col: str, threshold: float, least_words: int = 1) -> Iterator[Table]:
     """The items in tables of about TABLE words; one empty table if there are none."""
     held, room, made = [], 0, False
-    for item, w in items_of(items, id_col, text_col).toLocalIterator():
+    for item, w in items_of(items, id_col, text_col, least_words).toLocalIterator():
         held.append((item, bytes(w)))
         room += len(w) // 8
         if room >= TABLE:
@@ -191,10 +192,10 @@ def scored(docs: DataFrame, id_col: str, text_col: str, table: Table) -> DataFra
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, item long, score double, begin int, end int")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", threshold: float = 0.5, least_words: int = 5) -> DataFrame:
     """(id_col, item_col, score, begin, end): pairs of a document and an item that it contains, edited or not, with the
     word positions (from 0, end exclusive) of the passage that holds the best alignment."""
     small_batches(docs.sparkSession)
-    rows = reduce(DataFrame.union, [scored(docs, id_col, text_col, t) for t in tables(items, item_col, text_col, threshold)])
+    rows = reduce(DataFrame.union, [scored(docs, id_col, text_col, t) for t in tables(items, item_col, text_col, threshold, least_words)])
     best = rows.groupBy("id", "item").agg(F.max_by(F.struct("score", "begin", "end"), F.struct("score", -F.col("begin"), -F.col("end"))).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.score", "b.begin", "b.end")
