@@ -105,7 +105,7 @@ def test_operators_tell_long_words_apart(spark):
     assert {r.component_id for r in jaccard_join.jaccard_classes(docs, n=6).collect()} == {0, 1}
     assert {r.n_removed for r in substring_dedup.dedup_substrings(docs, length=6).collect()} == {0}
     items = spark.createDataFrame([(1, f"{a}")], "item_id long, text string")
-    assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == {0}
+    assert {r.doc_id for r in decontaminate.contaminated(docs, items, least_words=1).collect()} == {0}
     from tokenizers import Tokenizer
 
     path = queries.tokenizer("word_bpe_49k.json")
@@ -206,7 +206,7 @@ def removed(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard", "part"), [(256, 20_000), (2, 20_000), (2, 15)])
+@pytest.mark.parametrize(("shard", "part"), [(256, 4096), (2, 4096), (2, 15)])
 def test_substring_dedup(spark, monkeypatch, shard, part):
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
     monkeypatch.setattr(substring_dedup, "PART", part)
@@ -439,6 +439,14 @@ def test_quality(spark):
     assert got.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def test_quality_counts_a_repeated_id_once(spark):
+    texts = [(k % 40, f"word{k % 40} and some more, of {k % 40} kinds" if k % 40 < 20 else "!!! $$ ### %%") for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(40)] * 3, "doc_id long, quality int")
+    once = quality.train(documents(spark, texts[:40], extra=False), labels)
+    many = quality.train(documents(spark, texts, extra=False).repartition(7), labels)
+    assert np.allclose(once["w"], many["w"]) and np.isclose(once["shift"], many["shift"])
+
+
 def test_quality_odd_rows(spark):
     docs = documents(spark, [*odd_texts(), (None, "no id")])
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -478,7 +486,7 @@ def test_decontamination(spark):
         expected.add((k, k))
     docs += [(100, filler()), (101, None), (102, ""), (103, items[5][1]), (103, filler()), (None, items[6][1]), (104, "x tiny one y")]
     expected |= {(103, 5), (104, 52)}
-    got = decontaminate.contaminated(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string").withColumn("seed", F.lit(1))).collect()
+    got = decontaminate.contaminated(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string").withColumn("seed", F.lit(1)), least_words=2).collect()
     assert {(r.doc_id, r.item_id) for r in got} == expected and all(0.5 <= r.score <= 1 for r in got)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(documents(spark, docs), none).count() == 0
@@ -519,11 +527,17 @@ def aligned(docs, items, threshold=0.5):
     return found
 
 
-def decontaminated(spark, docs, items):
-    got = decontaminate.contaminated(documents(spark, docs, extra=False), spark.createDataFrame(items, "item_id long, text string")).collect()
+def decontaminated(spark, docs, items, least_words=1):
+    got = decontaminate.contaminated(documents(spark, docs, extra=False), spark.createDataFrame(items, "item_id long, text string"), least_words=least_words).collect()
     return {(r.doc_id, r.item_id): r.score for r in got}
 
 
+def test_decontamination_ignores_items_of_a_few_words(spark):
+    docs = [(1, "the cat and the dog"), (2, "one two three four five six")]
+    items = [(1, "the"), (2, "the dog"), (3, "two three four five"), (4, "one two three four five")]
+    assert decontaminated(spark, docs, items, least_words=5) == {(2, 4): 1.0}
+
+
 def test_decontamination_of_partial_copies(spark):
     """Five documents hold all of the item, many its first half only: all are found, however many they are."""
     rng = random.Random(4)
@@ -568,6 +582,31 @@ def test_decontamination_of_copies_edited_at_every_few_words(spark, step):
     assert decontaminated(spark, docs, items) == expected
 
 
+@pytest.mark.parametrize(("pairs", "single"), [(200, 0), (200, 100)])
+def test_sharding_splits_few_groups_however_many_rows_are_linked(spark, pairs, single):
+    texts = [*(f"pair {i // 2}" for i in range(2 * pairs)), *(f"alone {i}" for i in range(single))]
+    docs = documents(spark, texts, extra=False)
+    placed = sharding.shard_documents(docs, shards=40)
+    out = sharding.cut_edges(placed, docs).first()
+    of = {r.doc_id: r.shard for r in placed.collect()}
+    cut = sum(of[2 * i] != of[2 * i + 1] for i in range(pairs))
+    assert (out.groups, out.edges, out.split_groups, out.cut_edges) == (pairs, pairs, cut, cut)
+    held = collections.Counter(of.values())
+    assert len(held) == 40 and max(held.values()) - min(held.values()) <= 1
+    assert cut == 0  # shares of an even number of rows: no pair has to be split
+
+
+def test_sharding_cuts_no_more_than_the_best_deal(spark):
+    """Groups of sizes that a search over all deals of whole groups fits into the shards."""
+    rng = random.Random(11)
+    for _ in range(3):
+        sizes = [rng.randrange(2, 6) for _ in range(7)]
+        texts = [t for k, n in enumerate(sizes) for t in [f"group {k}"] * n] + [f"alone {k}" for k in range(20)]
+        docs = documents(spark, texts, extra=False)
+        out = sharding.cut_edges(sharding.shard_documents(docs, shards=3), docs).first()
+        assert out.edges == sum(n * (n - 1) // 2 for n in sizes) and out.cut_edges == 0
+
+
 def test_sharding_gathers_a_group_of_many_shards(spark):
     """A third of all rows are one text: it fills its shards one after the other and leaves the others alone."""
     texts = [*["same"] * 400, *[f"single {i}" for i in range(800)]]
