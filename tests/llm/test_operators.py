@@ -386,6 +386,57 @@ def test_html_suffix_array(spark, monkeypatch):
     assert all(got[100 + k] == "the very same page on this host twice over" for k in range(4))
 
 
+def plain_blocks(page):
+    found = html_extract.blocks(page)
+    core = any(k == html_extract.CORE for _, k in found)
+    return [t for t, k in found if k == (html_extract.CORE if core else html_extract.LOOSE)]
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<script>for(i=0;i<n;i++){f(i)}</script><p>after", ["after"]),
+        ("<script>a='</p>'; // <!--</script ><p>after", ["after"]),
+        ("<html><head><title>x</title><body><p>no end of the head", ["no end of the head"]),
+        ("<head><meta charset=x>text ends it<p>b", ["text ends it", "b"]),
+        ('<article><p class="ad">buy</p><p>b</p></article>', ["b"]),
+        ("<a href=/o'brien>hello</a> there <b>it's</b> done", ["hello there it's done"]),
+        ('<p title="5" tall">hello', ["hello"]),
+        ("<p title='a>b' x=\"c>d\">e<p title=never closed", ["e"]),
+        ('<article><div class="social-history">a</div><section id="related-work">b</section><h2 id="comments">c</h2></article>', ["a", "b", "c"]),
+        ("<article><div class='ad-slot'>x</div><div class='comment-list'>y</div><p>z</p></article>", ["z"]),
+        (f"<p>{'the story ' * 20}</p><article>teaser</article>", [("the story " * 20).strip(), "teaser"]),
+        ("<p>a < b &amp; c</p><!-- no --><![CDATA[raw &amp; x]]></>y<?no?><!doctype no>", ["a < b & c", "raw &amp; x y"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", ["a b", "c"]),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><svg><text>no</text></svg>e<textarea><p>no</textarea>f", ["a", "b", "c", "d", "ef"]),
+        ("<div hidden>no</div><nav><p>no<footer>no</footer></nav><p>yes<header>no</header>", ["yes"]),
+        ("", []),
+    ],
+)
+def test_html_blocks(page, expected):
+    got = plain_blocks(page)
+    assert [" ".join(t.split()) for t in got] == expected or [t.replace(" ", "") for t in got] == [t.replace(" ", "") for t in expected]
+
+
+def test_html_long_page_null_url_and_clashing_columns(spark):
+    page = "<article>" + "".join(f"<p>w{k} x{k}" for k in range(60_000)) + "</article>"
+    df = spark.createDataFrame([(1, None, page), (2, None, None)], "page_id long, url string, html string").withColumns({"whole": F.lit(1), "run": F.lit(2), "n_chars": F.lit(3)})
+    got = {r.page_id: r for r in html_extract.extract(df).collect()}
+    assert got[1].text == "\n".join(f"w{k} x{k}" for k in range(60_000)) and got[1].n_chars == len(got[1].text) and got[2].text == ""
+
+
+def test_html_boilerplate_inside_articles(spark):
+    """A line below each article goes, the title that other pages link to and articles that several pages carry stay."""
+    line = "write to us if you know more about this story"
+    title = "one title of many words that others link to"
+    page = "<div>{2}</div><article><h1>{0}</h1><p>{1}</p><p>" + line + "</p></article><p>" + line + "</p>"
+    copied = "a passage that three articles of one host have in common word by word"
+    rows = [(k, "http://a.example/", page.format(title if k == 0 else f"t{k}", copied if k < 4 else f"u{k} v{k} and much more of the story of page {k}", title if k else "x")) for k in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == f"{title}\n{copied}" and got[3] == f"t3\n{copied}"
+    assert got[5] == "t5\nu5 v5 and much more of the story of page 5"
+
+
 def test_html_runs_are_counted_over_the_whole_host(spark, monkeypatch):
     """Boilerplate on few of many pages of a host goes however the pages are dealt, as one suffix array over all has it."""
     monkeypatch.setattr(html_extract, "SHARD", 4)
