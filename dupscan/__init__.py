@@ -3,6 +3,10 @@
 __version__ = "0.1.0"
 
 
+def version() -> str:
+    return __version__
+
+
 def __getattr__(name: str):
     if name in ("Clone", "CloneGroup", "CloneType", "DetectionConfig", "DetectionMode", "detect_clones"):
         from dupscan import api
@@ -11,4 +15,4 @@ def __getattr__(name: str):
     raise AttributeError(name)
 
 
-__all__ = ["Clone", "CloneGroup", "CloneType", "DetectionConfig", "DetectionMode", "__version__", "detect_clones"]
+__all__ = ["Clone", "CloneGroup", "CloneType", "DetectionConfig", "DetectionMode", "__version__", "detect_clones", "version"]

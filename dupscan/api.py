@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from dupscan.config import CloneType, DetectionConfig, DetectionMode
 from dupscan.plans.detector import detect
-from dupscan.plans.report import LIMIT, collected
+from dupscan.plans.report import collected
 from dupscan.sources.files import collect_files
 
 __all__ = ["Clone", "CloneGroup", "CloneType", "DetectionConfig", "DetectionMode", "detect_clones"]
@@ -56,8 +56,9 @@ class CloneGroup:
         return f"CloneGroup({self.clone_type}, size={self.size}, similarity={self.similarity:.2f})"
 
 
-def detect_clones(files: Iterable[str], config: DetectionConfig | None = None, spark: SparkSession | None = None, limit: int = LIMIT) -> list[CloneGroup]:
-    """Groups of equal windows in Python files and folders, largest first, at most `limit`.
+def detect_clones(files: Iterable[str], config: DetectionConfig | None = None, spark: SparkSession | None = None) -> list[CloneGroup]:
+    """Groups of equal windows in Python files and folders, largest first; then, unless the mode is fast, pairs of similar
+    files (Type-3).
 
     A missing path or an unreadable file raises OSError; a file that does not lex raises ValueError, as an invalid config
     does.  Larger results stay in Spark: see dupscan.plans.detector.detect."""
@@ -65,7 +66,7 @@ def detect_clones(files: Iterable[str], config: DetectionConfig | None = None, s
     spark = spark or SparkSession.builder.getOrCreate()
     found = detect(collect_files(spark, list(files), on_error=config.on_error), config)
     try:
-        groups = collected(found, limit)
+        groups = collected(found)
     except Exception as e:
         if "LexError" in str(e):
             raise ValueError(str(e).splitlines()[0]) from e

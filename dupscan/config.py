@@ -49,6 +49,11 @@ class DetectionConfig:
         if self.on_error not in ("fail", "skip"):
             raise ValueError("on_error must be 'fail' or 'skip'")
 
+    @property
+    def finds_similar(self) -> bool:
+        """Whether similar files (Type-3) are part of a report."""
+        return self.mode is not DetectionMode.FAST
+
     @classmethod
     def fast(cls) -> DetectionConfig:
         return cls(mode=DetectionMode.FAST)

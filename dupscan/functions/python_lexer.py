@@ -103,4 +103,4 @@ def lex_errors(files: DataFrame) -> DataFrame:
             if bad:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*bad, strict=True), schema, strict=True)], schema=schema)
 
-    return files.where(F.col("language") == "python").select("file_id", "path", "content").mapInArrow(run, "file_id long, path string, error string")
+    return files.where((F.col("language") == "python") & F.col("content").isNotNull()).select("file_id", "path", "content").mapInArrow(run, "file_id long, path string, error string")

@@ -1,7 +1,9 @@
-"""Column functions on texts and tokens; all run in the JVM."""
+"""Column functions on texts and tokens; all but rolling_hashes run in the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +64,22 @@ def rolling_hash(tokens: Column) -> Column:
     return F.aggregate(F.transform(tokens, hash_string), F.lit(0).cast("long"), lambda h, t: (h * BASE + t) % MODULUS)
 
 
+def rolling_hashes(tokens: Column, width: int) -> Column:
+    """rolling_hash of every window of width tokens, by position, in Arrow batches; empty for shorter arrays."""
+
+    @F.pandas_udf("array<long>")
+    def roll(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            h = np.zeros(max(0, len(v) - width + 1), np.int64)
+            for j in range(width if len(h) else 0):
+                h = (h * BASE + v[j : j + len(h)]) % MODULUS
+            out.append(h)
+        return pd.Series(out)
+
+    return roll(F.transform(tokens, hash_string))
+
+
 def windows(tokens: Column, width: int, value=fingerprint) -> Column:
     """value() of every run of width tokens, by position; empty for shorter arrays."""
     last = F.size(tokens) - width

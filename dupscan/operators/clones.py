@@ -126,14 +126,17 @@ def instances(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("file_id", "path", F.col("content").alias("_c")), "file_id").withColumn("content", T.content_slice(F.col("_c"), F.col("start"), F.col("end"))).drop("_c")
 
 
-def regions(rows: DataFrame, width: int) -> DataFrame:
-    """(file_a, pos_a, file_b, pos_b, length, overlaps): maximal runs of matching windows, per pair of files and diagonal.
+def regions(rows: DataFrame, width: int, bridge: int | None = None) -> DataFrame:
+    """(file_a, pos_a, file_b, pos_b, length, overlaps): stretches of equal tokens, per pair of files and diagonal.
 
     Each window meets the previous and next one of its signature in (file, pos) order only, so a signature that occurs m
-    times makes m - 1 pairs; every occurrence lies in a region with its neighbours.  For all pairs see `all_regions`."""
+    times makes m - 1 pairs; every occurrence lies in a region with its neighbours.  Where another file comes between two
+    files for a while, their windows on both sides still make one region if these overlap or touch, as then all tokens
+    between them are equal; a longer part stands in the regions with that other file.  bridge: how far apart two windows
+    of a region may begin, width if not given; 1 where rows lack windows on purpose.  For all pairs see `all_regions`."""
     order = Window.partitionBy("sig").orderBy("file_id", "pos")
     pairs = rows.select("sig", F.lag("file_id").over(order).alias("file_a"), F.lag("pos").over(order).alias("pos_a"), F.col("file_id").alias("file_b"), F.col("pos").alias("pos_b")).where("file_a is not null")
-    return _islands(pairs, width)
+    return _islands(pairs, width, width if bridge is None else bridge)
 
 
 def all_regions(rows: DataFrame, width: int, most: int | None = None) -> DataFrame:
@@ -143,14 +146,15 @@ def all_regions(rows: DataFrame, width: int, most: int | None = None) -> DataFra
         rows = rows.join(rows.groupBy("sig").agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select("sig"), "sig", "left_semi")
     a = rows.select("sig", F.col("file_id").alias("file_a"), F.col("pos").alias("pos_a"))
     b = rows.select("sig", F.col("file_id").alias("file_b"), F.col("pos").alias("pos_b"))
-    return _islands(a.join(b, "sig").where("file_a < file_b or file_a = file_b and pos_a < pos_b"), width)
+    return _islands(a.join(b, "sig").where("file_a < file_b or file_a = file_b and pos_a < pos_b"), width, width)
 
 
-def _islands(pairs: DataFrame, width: int) -> DataFrame:
-    """Runs of consecutive positions on a diagonal (gaps and islands)."""
+def _islands(pairs: DataFrame, width: int, bridge: int) -> DataFrame:
+    """Runs of windows on a diagonal, each at most `bridge` after the one before (gaps and islands)."""
     pairs = pairs.withColumn("diagonal", F.col("pos_b") - F.col("pos_a"))
     order = Window.partitionBy("file_a", "file_b", "diagonal").orderBy("pos_a")
-    runs = pairs.withColumn("island", F.col("pos_a") - F.row_number().over(order))
+    opens = F.coalesce(F.col("pos_a") > F.lag("pos_a").over(order) + bridge, F.lit(True)).cast("int")
+    runs = pairs.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(order))
     out = runs.groupBy("file_a", "file_b", "diagonal", "island").agg(F.min("pos_a").cast("long").alias("pos_a"), F.min("pos_b").cast("long").alias("pos_b"), (F.max("pos_a") - F.min("pos_a") + width).cast("long").alias("length"))
     overlaps = (F.col("file_a") == F.col("file_b")) & (F.col("pos_b") < F.col("pos_a") + F.col("length"))
     return out.select("file_a", "pos_a", "file_b", "pos_b", "length", overlaps.alias("overlaps"))

@@ -20,25 +20,35 @@ def register_metric(name: str, metric: Callable[[Column, Column], Column]) -> No
     METRICS[name] = metric
 
 
-def sharing_pairs(rows: DataFrame) -> DataFrame:
-    """(file_a, file_b): files that share a window, as neighbours in the order of its files, so that a window of m files
-    makes m - 1 pairs."""
-    from pyspark.sql import Window
+def membership(token_arrays: DataFrame) -> DataFrame:
+    """(file_id, first): the first of the files with the same token sequence."""
+    prints = token_arrays.select("file_id", T.fingerprint(F.col("norm")).alias("_p"))
+    return prints.join(prints.groupBy("_p").agg(F.min("file_id").alias("first")), "_p").select("file_id", "first")
 
-    files = rows.select("sig", "file_id").distinct()
-    before = F.lag("file_id").over(Window.partitionBy("sig").orderBy("file_id"))
-    return files.select(before.alias("file_a"), F.col("file_id").alias("file_b")).where("file_a is not null").distinct()
 
+def representatives(token_arrays: DataFrame) -> DataFrame:
+    """The rows of token_arrays of the first of the files with the same token sequence."""
+    first = token_arrays.groupBy(T.fingerprint(F.col("norm")).alias("_p")).agg(F.min("file_id").alias("file_id")).select("file_id")
+    return token_arrays.join(first, "file_id", "left_semi")
 
-def all_sharing_pairs(rows: DataFrame) -> DataFrame:
-    """(file_a, file_b), file_a < file_b: all pairs of files that share a window.  Of windows that the same files hold
-    (known by their number and two sums of hashes) only one makes pairs."""
-    files = rows.select("sig", "file_id").distinct()
+
+def sharing_pairs(rows: DataFrame, sizes: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(file_a, file_b), file_a < file_b: the pairs of files of `sizes` (file_id, n: distinct tokens) that share a window
+    and whose sizes let them be similar.  Of windows that the same files hold (known by their number and two sums of
+    hashes) only one makes pairs."""
+    files = rows.select("sig", "file_id").distinct().join(sizes, "file_id")
     total = lambda seed: F.sum(F.xxhash64("file_id", F.lit(seed)).cast("decimal(38,0)"))
-    sets = files.groupBy("sig").agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2")).where("n > 1")
-    own = files.join(sets.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig"), "sig")
-    a, b = own.withColumnRenamed("file_id", "file_a"), own.withColumnRenamed("file_id", "file_b")
-    return a.join(b, "sig").where("file_a < file_b").select("file_a", "file_b").distinct()
+    sets = files.groupBy("sig").agg(F.count("*").alias("m"), total(1).alias("h1"), total(2).alias("h2")).where("m > 1")
+    own = files.join(sets.groupBy("m", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+    a, b = (own.select("sig", F.col("file_id").alias(f"file_{x}"), F.col("n").alias(f"_n{x}")) for x in "ab")
+    return a.join(b, "sig").where((F.col("file_a") < F.col("file_b")) & (F.least("_na", "_nb") >= F.lit(threshold) * F.greatest("_na", "_nb"))).select("file_a", "file_b").distinct()
+
+
+def similar_files(rows: DataFrame, token_arrays: DataFrame, threshold: float) -> DataFrame:
+    """(file_a, file_b, similarity): links between representatives that share a window and reach the threshold."""
+    arrays = representatives(token_arrays)
+    sizes = arrays.select("file_id", F.size(F.array_distinct("norm")).alias("n"))
+    return similar_pairs(sharing_pairs(rows, sizes, threshold), arrays, "jaccard", threshold)
 
 
 def similar_pairs(pairs: DataFrame, token_arrays: DataFrame, metric: str = "jaccard", threshold: float = 0.0) -> DataFrame:

@@ -38,10 +38,13 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("language"))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Lexing is the costly part and files are few and large: rows are spread before it."""
+    return files.repartition(max(16, files.sparkSession.sparkContext.defaultParallelism * 4))
+
+
 def document_arrays(spark: SparkSession, sf_dir: str, mask: bool = False) -> DataFrame:
-    files = document_files(spark, sf_dir)
-    # lexing is the costly part and files are few and large: spread rows before it
-    return clones.text_arrays(files.select("file_id", "content").repartition(max(16, spark.sparkContext.defaultParallelism * 4)), mask)
+    return clones.text_arrays(spread(document_files(spark, sf_dir).select("file_id", "content")), mask)
 
 
 SOLID, ALL = T.SOLID, T.TOKEN
@@ -122,7 +125,7 @@ def _count(test: str) -> str:
 SELECT file_id, len(t)::BIGINT AS tokens, {_count("regexp_matches(v, '^[\\p{L}_]')")} AS identifiers, {_count("regexp_matches(v, '^[0-9]')")} AS literals,
 {_count(f"regexp_matches(v, '^[{T.SPACE}]')")} AS spaces, {_count(f"NOT regexp_matches(v, '^[{T.SPACE}]')")} AS significant FROM lexed""")
 def lex_counts(spark, sf_dir):
-    lexed = document_files(spark, sf_dir).select("file_id", T.all_tokens(F.col("content")).alias("t")).select("file_id", F.transform("t", T.token_class).alias("c"))
+    lexed = spread(document_files(spark, sf_dir).select("file_id", "content")).select("file_id", T.all_tokens(F.col("content")).alias("t")).select("file_id", F.transform("t", T.token_class).alias("c"))
     n = lambda test: F.size(F.filter("c", test)).cast("long")
     return lexed.select("file_id", F.size("c").cast("long").alias("tokens"), n(lambda c: c == "Identifier").alias("identifiers"), n(lambda c: c == "Literal").alias("literals"), n(lambda c: c == "Whitespace").alias("spaces"), n(lambda c: c != "Whitespace").alias("significant"))
 
@@ -136,11 +139,17 @@ def normalized_fingerprint(spark, sf_dir):
     return a.select("file_id", F.size("norm").cast("long").alias("tokens"), F.md5(T.normalized_string(F.col("norm"))).alias("fingerprint"))
 
 
-@query(f"""WITH {DOCS}, {TOKENS}, h AS (SELECT file_id, list_transform(k[1:{WIDTH}], lambda v: ('0x' || substr(md5(v), 1, 15))::BIGINT % {T.MODULUS}) AS n FROM toks WHERE len(k) >= {WIDTH})
-SELECT file_id, list_reduce(n, lambda a, b: (a * {T.BASE} + b) % {T.MODULUS})::BIGINT AS rolling FROM h""")
+@query(f"""WITH {DOCS}, {TOKENS},
+h AS (SELECT file_id, len(k) AS n, unnest(list_transform(k, lambda v: ('0x' || substr(md5(v), 1, 15))::BIGINT % {T.MODULUS})) AS t, generate_subscripts(k, 1) - 1 AS i FROM toks WHERE len(k) >= {WIDTH}),
+p AS (SELECT j, list_reduce(list_prepend(1::BIGINT, list_transform(range({WIDTH} - 1 - j), lambda x: {T.BASE}::BIGINT)), lambda a, b: (a * b) % {T.MODULUS}) AS power FROM range({WIDTH}) AS r(j)),
+rolled AS (SELECT file_id, i - j AS pos, sum((t * power) % {T.MODULUS})::BIGINT % {T.MODULUS} AS r FROM h, p WHERE i >= j AND i - j <= n - {WIDTH} GROUP BY file_id, i - j)
+SELECT file_id, count(*) AS windows, count(DISTINCT r) AS values, sum(r)::BIGINT AS total, max(pos * (r % 1000))::BIGINT AS placed FROM rolled GROUP BY file_id""")
 def rolling_hash(spark, sf_dir):
+    """Of the rolling hashes of all windows of a document: how many, how many distinct ones, their sum, and a figure that
+    depends on their order."""
     a = document_arrays(spark, sf_dir).where(F.size("norm") >= WIDTH)
-    return a.select("file_id", T.rolling_hash(F.slice("norm", 1, WIDTH)).alias("rolling"))
+    rows = a.select("file_id", F.posexplode(T.rolling_hashes(F.col("norm"), WIDTH)).alias("pos", "r"))
+    return rows.groupBy("file_id").agg(F.count("*").alias("windows"), F.count_distinct("r").alias("values"), F.sum("r").alias("total"), F.max(F.col("pos") * (F.col("r") % 1000)).alias("placed"))
 
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT md5(array_to_string(k, ' ')) AS fingerprint, count(*) AS n, min(file_id) AS first_file FROM toks GROUP BY 1 HAVING count(*) > 1")
@@ -183,63 +192,63 @@ def total_clone_count(spark, sf_dir):
 
 @query(f"""WITH {DOCS}, {TOKENS}, {WINDOWS}, {REPEATED},
 pairs AS (SELECT lag(file_id) OVER o AS file_a, lag(pos) OVER o AS pos_a, file_id AS file_b, pos AS pos_b FROM reps WINDOW o AS (PARTITION BY sig ORDER BY file_id, pos)),
-runs AS (SELECT *, pos_b - pos_a AS diagonal, pos_a - row_number() OVER (PARTITION BY file_a, file_b, pos_b - pos_a ORDER BY pos_a) AS island FROM pairs WHERE file_a IS NOT NULL),
+steps AS (SELECT *, pos_b - pos_a AS diagonal, coalesce(pos_a > lag(pos_a) OVER (PARTITION BY file_a, file_b, pos_b - pos_a ORDER BY pos_a) + {WIDTH}, true)::INT AS opens FROM pairs WHERE file_a IS NOT NULL),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY file_a, file_b, diagonal ORDER BY pos_a) AS island FROM steps),
 found AS (SELECT file_a, min(pos_a) AS pos_a, file_b, min(pos_b) AS pos_b, max(pos_a) - min(pos_a) + {WIDTH} AS length FROM runs GROUP BY file_a, file_b, diagonal, island)
 SELECT *, file_a = file_b AND pos_b < pos_a + length AS overlaps FROM found""")
 def clone_regions(spark, sf_dir):
     return clones.regions(clones.repeated(clones.windows(document_arrays(spark, sf_dir), WIDTH)), WIDTH)
 
 
-NEIGHBOURS = """owners AS (SELECT DISTINCT sig, file_id FROM reps),
-pairs AS (SELECT DISTINCT file_a, file_b FROM (SELECT lag(file_id) OVER (PARTITION BY sig ORDER BY file_id) AS file_a, file_id AS file_b FROM owners) WHERE file_a IS NOT NULL),
-scored AS (SELECT p.file_a, p.file_b, len(list_intersect(list_distinct(a.k), list_distinct(b.k)))::DOUBLE / len(list_distinct(list_concat(a.k, b.k))) AS similarity, a.k AS ka, b.k AS kb
-FROM pairs p JOIN toks a ON a.file_id = p.file_a JOIN toks b ON b.file_id = p.file_b)"""
+#: All pairs of distinct token sequences that share a window, from the definition.
+SHARING = """firsts AS (SELECT min(file_id) AS file_id FROM toks GROUP BY array_to_string(k, ' ')),
+owners AS (SELECT DISTINCT sig, file_id FROM reps JOIN firsts USING (file_id)),
+pairs AS (SELECT DISTINCT a.file_id AS file_a, b.file_id AS file_b FROM owners a JOIN owners b ON a.sig = b.sig AND a.file_id < b.file_id),
+sets AS (SELECT file_id, list_distinct(k) AS s FROM toks),
+scored AS (SELECT file_a, file_b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM pairs JOIN sets a ON a.file_id = file_a JOIN sets b ON b.file_id = file_b),
+alike AS (SELECT file_a, file_b, i::DOUBLE / (n - i) AS similarity FROM scored)"""
 
 
-def _sharing(spark, sf_dir):
+def _similar(spark, sf_dir, threshold):
     arrays = document_arrays(spark, sf_dir)
-    return similarity.sharing_pairs(clones.repeated(clones.windows(arrays, WIDTH))), arrays
+    found = similarity.similar_files(clones.repeated(clones.windows(arrays, WIDTH)), arrays, threshold)
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
-@query(f"WITH {DOCS}, {TOKENS}, {WINDOWS}, {REPEATED}, {NEIGHBOURS} SELECT file_a, file_b, round(similarity, 9) AS similarity FROM scored")
+@query(f"WITH {DOCS}, {TOKENS}, {WINDOWS}, {REPEATED}, {SHARING} SELECT file_a, file_b, round(similarity, 9) AS similarity FROM alike WHERE similarity >= 0.5")
 def jaccard_pairs(spark, sf_dir):
-    pairs, arrays = _sharing(spark, sf_dir)
-    return similarity.similar_pairs(pairs, arrays).withColumn("similarity", F.round("similarity", 9))
+    return _similar(spark, sf_dir, 0.5)
 
 
-@query(f"""WITH {DOCS}, {TOKENS}, {WINDOWS}, {REPEATED}, {NEIGHBOURS}
-SELECT file_a, file_b, round(similarity, 9) AS similarity, 'Type-3' AS clone_type FROM scored WHERE similarity >= 0.85 AND array_to_string(ka, ' ') <> array_to_string(kb, ' ')""")
+@query(f"""WITH {DOCS}, {TOKENS}, {WINDOWS}, {REPEATED}, {SHARING}
+SELECT file_a, file_b, round(similarity, 9) AS similarity, 'Type-3' AS clone_type FROM alike WHERE similarity >= 0.85""")
 def similar_documents(spark, sf_dir):
-    pairs, arrays = _sharing(spark, sf_dir)
-    found = similarity.similar_pairs(pairs, arrays, "jaccard", 0.85)
-    prints = arrays.select("file_id", T.fingerprint(F.col("norm")).alias("p"))
-    both = found.join(prints.toDF("file_a", "pa"), "file_a").join(prints.toDF("file_b", "pb"), "file_b").where("pa <> pb")
-    return both.select("file_a", "file_b", F.round("similarity", 9).alias("similarity"), F.lit("Type-3").alias("clone_type"))
+    return _similar(spark, sf_dir, 0.85).withColumn("clone_type", F.lit("Type-3"))
 
 
-SHORT = f"""turns AS (SELECT conv_id * 100000 + turn AS file_id, regexp_extract_all(lower(coalesce(text, '')), '{SOLID}') AS k FROM conversations WHERE role = 'user' AND strlen(coalesce(text, '')) = length(coalesce(text, ''))),
-joined AS (SELECT file_id, array_to_string(k, ' ') AS s FROM turns),
-near AS (SELECT lag(file_id) OVER o AS file_a, lag(s) OVER o AS sa, file_id AS file_b, s AS sb FROM joined WINDOW o AS (PARTITION BY substr(s, 1, 4) ORDER BY s, file_id))"""
+PHRASE = 4
 
 
-@query(f"""WITH {SHORT} SELECT file_a, file_b, round(CASE WHEN greatest(length(sa), length(sb)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(sa, sb)::DOUBLE / greatest(length(sa), length(sb)) END, 9) AS similarity FROM near WHERE file_a IS NOT NULL""")
-def levenshtein_pairs(spark, sf_dir):
-    """Edit similarity of user turns next to each other among those with the same four first characters; ASCII turns only, as engines count bytes or
-    characters."""
-    from pyspark.sql import Window
+def similar_turns(turns: DataFrame) -> DataFrame:
+    """(file_a, file_b, similarity): edit similarity, in characters, of distinct normalised texts that share a run of PHRASE
+    tokens; of equal ones the least file_id stands for all.  turns: file_id, content."""
+    arrays = clones.text_arrays(turns)
+    own = similarity.representatives(arrays)
+    pairs = similarity.sharing_pairs(clones.repeated(clones.windows(own, PHRASE)), own.select("file_id", F.lit(1).alias("n")))
+    return similarity.similar_pairs(pairs, own, "levenshtein").withColumn("similarity", F.round("similarity", 9))
 
-    rows = table(spark, sf_dir, "conversations").withColumn("content", F.coalesce("text", F.lit(""))).where((F.col("role") == "user") & (F.octet_length("content") == F.char_length("content")))
-    arrays = clones.text_arrays(rows.select((F.col("conv_id") * 100000 + F.col("turn")).alias("file_id"), "content"))
-    joined = arrays.select("file_id", F.col("norm"), T.normalized_string(F.col("norm")).alias("s"))
-    order = Window.partitionBy(F.substring("s", 1, 4)).orderBy("s", "file_id")
-    near = joined.select(F.lag("file_id").over(order).alias("file_a"), F.lag("norm").over(order).alias("a"), F.col("file_id").alias("file_b"), F.col("norm").alias("b")).where("file_a is not null")
-    return near.select("file_a", "file_b", F.round(similarity.METRICS["levenshtein"](F.col("a"), F.col("b")), 9).alias("similarity"))
 
+@query()
+def levenshtein_pairs(spark, sf_dir):
+    """similar_turns of all conversations.  DuckDB's levenshtein counts bytes, so there is no SQL; the tests use brute force."""
+    return similar_turns(spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("file_id"), F.coalesce("text", F.lit("")).alias("content"))))
 
-@query(f"""WITH turns AS (SELECT conv_id, turn, md5(array_to_string(regexp_extract_all(lower(coalesce(text, '')), '{SOLID}'), ' ')) AS sig FROM conversations)
-SELECT sig, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM turns GROUP BY sig HAVING count(*) > 1""")
+
+@query(f"""WITH turns AS (SELECT conv_id, turn, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line FROM conversations)
+SELECT md5(array_to_string(regexp_extract_all(line, '{SOLID}'), ' ')) AS sig, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM turns GROUP BY 1 HAVING count(*) > 1""")
 def repeated_conversations(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("content"))
+    """Lines that occur more than once in the turns of conversations."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("content"))
     prints = clones.text_arrays(rows).select("file_id", T.fingerprint(F.col("norm")).alias("sig"))
     return prints.groupBy("sig").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("conversations")).where("n > 1")
 
@@ -248,7 +257,7 @@ def repeated_conversations(spark, sf_dir):
 SELECT sig, count(*) AS n, count(DISTINCT file_id) AS n_files, min((file_id, pos))[1] AS first_file, min((file_id, pos))[2] AS first_pos FROM wins GROUP BY sig HAVING count(*) > 1""")
 def page_windows(spark, sf_dir):
     files = S.collect_table(table(spark, sf_dir, "pages"), "page_id", "html", "text")
-    return clones.candidates(clones.windows(clones.text_arrays(files), WIDTH))
+    return clones.candidates(clones.windows(clones.text_arrays(spread(files.select("file_id", "content"))), WIDTH))
 
 
 OVERLAP = 10
@@ -280,6 +289,21 @@ def report_json(spark, sf_dir):
     return one.select(F.format_string('{"signature":"%s","clone_type":"Type-1","size":%d,"instances":[%s]}', "sig", "size", "at").alias("line"))
 
 
+TEXT_MASK = f"list_transform(k, lambda v: CASE WHEN regexp_matches(v, '^[\\p{{L}}_]') THEN '$ID' WHEN regexp_matches(v, '^[0-9]') THEN '$LIT' ELSE v END)"
+
+
+@query(f"""WITH docs AS (SELECT item_id AS file_id, coalesce(text, '') || chr(10) AS content FROM benchmark),
+toks AS (SELECT file_id, regexp_extract_all(content, '{SOLID}') AS k FROM docs),
+both_ AS (SELECT file_id, k, {TEXT_MASK} AS m FROM toks WHERE len(k) >= 12),
+wins AS (SELECT file_id, unnest(list_transform(range(0, len(k) - 11), lambda i: md5(array_to_string(m[i + 1:i + 12], ' ')))) AS sig,
+  unnest(list_transform(range(0, len(k) - 11), lambda i: md5(array_to_string(k[i + 1:i + 12], ' ')))) AS raw FROM both_)
+SELECT sig, CASE WHEN min(raw) = max(raw) THEN 'Type-1' ELSE 'Type-2' END AS clone_type, 1.0::DOUBLE AS similarity, count(*) AS size FROM wins GROUP BY sig HAVING count(*) > 1""")
+def detected_groups(spark, sf_dir):
+    """detect() with masking over the benchmark's texts, windows of 12 tokens: groups of Type-1 and Type-2."""
+    files = S.collect_table(table(spark, sf_dir, "benchmark").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))), "item_id", "text", "text")
+    return detect(files, DetectionConfig(min_tokens=12, min_lines=1, whole_units=False)).groups.select("sig", "clone_type", "similarity", "size")
+
+
 PYTHON = [
     "def total(values):\n    result = 0\n    for value in values:\n        result += value\n    return result\n",
     "def add_all(numbers):\n    # the same with other names\n    acc = 0\n    for n in numbers:\n        acc += n\n    return acc\n",

@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dupscan.config import DetectionConfig, DetectionMode
+from dupscan.functions.python_lexer import lex_errors
+from dupscan.functions.text import text_lines
 from dupscan.operators import clones, similarity
 
 
@@ -57,7 +59,7 @@ class Detection:
         rows = self.windows.select("file_id", "pos", "sig")
         if self.config.whole_units:
             rows = clones.within_units(rows, self.kept, self.config.min_tokens)
-        runs = clones.regions(rows, self.config.min_tokens)
+        runs = clones.regions(rows, self.config.min_tokens, 1 if self.config.whole_units else None)
         ends = self.kept.select(F.col("file_id").alias("file_b"), F.col("k").alias("_k"), "start_line", "end_line")
         first = ends.select("file_b", F.col("_k").alias("pos_b"), "start_line")
         last = ends.select("file_b", F.col("_k").alias("_last"), "end_line")
@@ -66,19 +68,31 @@ class Detection:
 
     @cached_property
     def similar(self) -> DataFrame:
-        """Type-3: files that share a window and whose token sets are similar enough, but not equal token sequences."""
-        pairs = similarity.all_sharing_pairs(self.windows)
-        found = similarity.similar_pairs(pairs, self.arrays, "jaccard", self.config.similarity_threshold)
-        prints = self.arrays.select("file_id", F.md5(F.array_join("norm", " ")).alias("_p"))
-        a, b = prints.toDF("file_a", "_pa"), prints.toDF("file_b", "_pb")
-        return found.join(a, "file_a").join(b, "file_b").where("_pa <> _pb").select("file_a", "file_b", "similarity", F.lit("Type-3").alias("clone_type"))
+        """Type-3: files that share a window and whose token sets are similar enough, but not equal token sequences.  Only
+        the first of files with equal ones is compared; the others have its links."""
+        found = similarity.similar_files(self.windows, self.arrays, self.config.similarity_threshold)
+        member = similarity.membership(self.arrays)
+        a, b = (member.select(F.col("first").alias(f"file_{x}"), F.col("file_id").alias(x)) for x in "ab")
+        both = found.join(a, "file_a").join(b, "file_b")
+        return both.select(F.least("a", "b").alias("file_a"), F.greatest("a", "b").alias("file_b"), "similarity", F.lit("Type-3").alias("clone_type"))
 
     @cached_property
-    def numbered(self) -> DataFrame:
-        """groups with their instances as arrays in (path, start_line, start) order; a report's rows."""
-        one = F.struct("path", "start_line", "start_col", "end_line", "end_col", "content", "start", "end")
-        lists = self.instances.groupBy("sig").agg(F.array_sort(F.collect_list(one)).alias("instances"))
-        return self.groups.join(lists, "sig")
+    def similar_instances(self) -> DataFrame:
+        """The two files of each similar pair, whole, as the rows of a report."""
+        pairs = self.similar.withColumn("sig", F.md5(F.concat_ws("|", "file_a", "file_b")))
+        ends = pairs.select("sig", "similarity", "clone_type", F.explode(F.array("file_a", "file_b")).alias("file_id"))
+        lines = F.greatest(F.lit(1), text_lines(F.col("content"))).cast("int")
+        rows = ends.join(self.files.select("file_id", "path", "content"), "file_id").withColumn("end_line", lines)
+        mean = F.avg("end_line").over(Window.partitionBy("sig"))  # two rows
+        last = F.char_length(F.substring_index(F.regexp_replace("content", "\n$", ""), "\n", -1)).cast("int")
+        return rows.select("sig", "path", F.lit(1).alias("start_line"), F.lit(0).alias("start_col"), "end_line", last.alias("end_col"), "content", "clone_type", "similarity", F.lit(2).cast("long").alias("size"), mean.alias("avg_lines"))
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """(file_id, path, error): files that could not be read, and those whose tokens could not be made."""
+        known = self.files if "error" in self.files.columns else self.files.withColumn("error", F.lit(None).cast("string"))
+        unread = known.where("error is not null").select("file_id", "path", "error")
+        return unread.union(lex_errors(known.where("error is null")).select("file_id", "path", "error"))
 
     @property
     def mode(self) -> DetectionMode:

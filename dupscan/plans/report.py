@@ -1,70 +1,94 @@
-"""Reports of a detection: text, JSON and SARIF.  They collect at most `limit` groups; tables go out with df.write."""
+"""Reports of a detection: text, JSON and SARIF, streamed group by group.
+
+Totals come from an aggregate.  Rows reach the driver in report order, a partition at a time, and each piece of a report is
+handed on before the next is made, so neither the number of groups nor that of instances is bounded here."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 from dupscan import __version__
 from dupscan.config import DetectionConfig
-from dupscan.plans.detector import Detection
+from dupscan.plans.detector import Detection, total_clones
 
-LIMIT = 10_000
+FIELDS = ("path", "start_line", "start_col", "end_line", "end_col", "content")
 
 
-def collected(found: Detection, limit: int = LIMIT) -> list[dict]:
-    """The largest groups with their instances, in report order."""
+def streamed(found: Detection) -> Iterator[tuple[dict, Iterator[dict]]]:
+    """(group, its instances): equal windows by size, then similar files where the mode looks for them."""
     from pyspark.sql import functions as F
 
-    rows = found.numbered.orderBy(F.desc("size"), "sig").limit(limit).collect()
-    return [r.asDict(recursive=True) for r in rows]
+    heads = found.groups.select("sig", "clone_type", "similarity", "size", "avg_lines")
+    rows = found.instances.select("sig", *FIELDS, "start").join(heads, "sig").orderBy(F.desc("size"), "sig", "path", "start_line", "start")
+    every = (r.asDict() for r in rows.toLocalIterator())
+    if found.config.finds_similar:
+        every = chain(every, (r.asDict() for r in found.similar_instances.orderBy(F.desc("similarity"), "sig", "path").toLocalIterator()))
+    for _, own in groupby(every, key=lambda r: r["sig"]):
+        first = next(own)
+        yield {k: first[k] for k in ("sig", "clone_type", "similarity", "size", "avg_lines")}, ({k: r[k] for k in FIELDS} for r in chain([first], own))
+
+
+def collected(found: Detection) -> list[dict]:
+    """All groups with their instances, in report order."""
+    return [group | {"instances": list(own)} for group, own in streamed(found)]
+
 
+def totals(found: Detection) -> dict:
+    """Groups and instances of the whole detection."""
+    row = total_clones(found.groups).first().asDict()
+    if found.config.finds_similar:
+        n = found.similar.count()
+        row = {"groups": row["groups"] + n, "instances": row["instances"] + 2 * n}
+    return row
 
-def config_lines(config: DetectionConfig, form: str) -> list[str]:
-    return ["Configuration:", f"  Mode: {config.mode.name.title()}", f"  Min lines: {config.min_lines}", f"  Min tokens: {config.min_tokens}", f"  Threshold: {config.similarity_threshold:.2f}", f"  Format: {form}", ""]
 
+def settings(config: DetectionConfig, form: str) -> list[str]:
+    return [f"settings: mode={config.mode.value} tokens>={config.min_tokens} lines>={config.min_lines} similarity>={config.similarity_threshold:g} output={form}"]
 
-def text_report(groups: list[dict], seconds: float = 0.0, files: int = 0, verbose: bool = False) -> str:
-    out = []
-    if not groups:
-        out.append("No code duplicates found!")
-    else:
-        out += [f"Found {len(groups)} clone group(s)", ""]
-        for i, g in enumerate(groups, 1):
-            out.append(f"Clone Group #{i} ({g['clone_type']}, similarity: {g['similarity'] * 100:.1f}%)")
-            out.append(f"  {g['size']} instances, avg {int(g['avg_lines'])} lines")
-            for x in g["instances"]:
-                out.append(f"    {x['path']}:{x['start_line']}:{x['start_col']}-{x['end_line']}:{x['end_col']}")
-                if verbose:
-                    lines = x["content"].splitlines()
-                    out += [f"      {line}" for line in lines[:3]] + ["      ..."] * (len(lines) > 3)
-            out.append("")
-        out.append(f"Total: {sum(g['size'] for g in groups)} clone instances in {len(groups)} groups")
-    if seconds:
-        out += ["", f"Analyzed in {seconds:.2f}s ({int(files / seconds)} files/sec)"]
-    return "\n".join(out)
 
+def text_report(groups: Iterable[tuple[dict, Iterable[dict]]], total: dict, verbose: bool = False) -> Iterator[str]:
+    """Lines of the report."""
+    yield f"clones: {total['groups']} groups, {total['instances']} places" if total["groups"] else "clones: none"
+    for number, (g, own) in enumerate(groups, 1):
+        alike = "" if g["similarity"] == 1 else f", {g['similarity']:.3f} alike"
+        yield f"[{number}] {g['clone_type']}: {g['size']} places of {g['avg_lines']:.1f} lines{alike}"
+        for x in own:
+            yield f"  {x['path']} lines {x['start_line']}-{x['end_line']} columns {x['start_col']}-{x['end_col']}"
+            if verbose:
+                lines = x["content"].splitlines()
+                yield from (f"  | {line}" for line in lines[:3])
+                if len(lines) > 3:
+                    yield f"  | ({len(lines) - 3} more lines)"
 
-def json_report(groups: list[dict]) -> str:
-    return json.dumps({"groups": [{"signature": g["sig"], **{k: g[k] for k in ("clone_type", "similarity", "size", "avg_lines", "instances")}} for g in groups], "total_groups": len(groups), "total_instances": sum(g["size"] for g in groups)}, ensure_ascii=False, indent=2)
 
+def _list(entries: Iterable[str]) -> Iterator[str]:
+    for k, entry in enumerate(entries):
+        yield (",\n" if k else "\n") + entry
 
-def sarif_report(groups: list[dict]) -> str:
-    """Static Analysis Results Interchange Format 2.1.0: a result for each group, its first instance as the location."""
+
+def json_report(groups: Iterable[tuple[dict, Iterable[dict]]], total: dict, files: int | None = None, seconds: float | None = None) -> Iterator[str]:
+    """Pieces of one JSON object."""
+    head = {"total_groups": total["groups"], "total_instances": total["instances"]} | ({} if files is None else {"files_analyzed": files}) | ({} if seconds is None else {"duration_ms": round(1000 * seconds)})
+    yield json.dumps(head)[:-1] + ', "groups": ['
+    yield from _list(json.dumps({"signature": g["sig"], **{k: g[k] for k in ("clone_type", "similarity", "size", "avg_lines")}, "instances": list(own)}, ensure_ascii=False) for g, own in groups)
+    yield "\n]}"
+
+
+def sarif_report(groups: Iterable[tuple[dict, Iterable[dict]]]) -> Iterator[str]:
+    """Pieces of one log in the Static Analysis Results Interchange Format 2.1.0: a result for each group, its first
+    instance as the location."""
 
     def place(x: dict) -> dict:
         region = {"startLine": x["start_line"], "startColumn": x["start_col"] + 1, "endLine": x["end_line"], "endColumn": x["end_col"] + 1}
         return {"physicalLocation": {"artifactLocation": {"uri": x["path"]}, "region": region}}
 
-    results = [
-        {
-            "ruleId": g["clone_type"],
-            "level": "warning",
-            "message": {"text": f"{g['size']} instances of a duplicated passage"},
-            "partialFingerprints": {"signature": g["sig"]},
-            "locations": [place(g["instances"][0])],
-            "relatedLocations": [place(x) for x in g["instances"][1:]],
-        }
-        for g in groups
-    ]
-    driver = {"name": "dupscan", "version": __version__, "rules": [{"id": t} for t in sorted({g["clone_type"] for g in groups})]}
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": driver}, "results": results}]}, ensure_ascii=False, indent=2)
+    def result(g: dict, own: Iterable[dict]) -> str:
+        places = [place(x) for x in own]
+        return json.dumps({"ruleId": g["clone_type"], "level": "warning", "message": {"text": f"{g['size']} instances of a duplicated passage"}, "partialFingerprints": {"signature": g["sig"]}, "locations": places[:1], "relatedLocations": places[1:]}, ensure_ascii=False)
+
+    driver = {"name": "dupscan", "version": __version__, "rules": [{"id": f"Type-{k}"} for k in (1, 2, 3)]}
+    yield f'{{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{{"tool": {json.dumps({"driver": driver})}, "results": ['
+    yield from _list(result(g, own) for g, own in groups)
+    yield "\n]}]}"

@@ -95,6 +95,41 @@ def test_windows_equal_brute_force(spark):
     assert covered == pairs
 
 
+def test_regions_with_another_file_between(spark):
+    """Files 1 and 3 share 30 tokens, file 2 six of them: one region of 30 for the pair."""
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30)]
+    texts = {1: ["xa", *w, "ya"], 2: ["xb", *w[12:18], "yb"], 3: ["xc", *w, "yc"]}
+    files = spark.createDataFrame([(i, str(i), " ".join(t), "text") for i, t in texts.items()], FILES)
+    rows = clones.repeated(clones.windows(clones.text_arrays(files), 5))
+    got = {(r.file_a, r.file_b): r.length for r in clones.regions(rows, 5).collect()}
+    assert got[1, 3] == 30 and got[1, 2] == got[2, 3] == 6
+
+
+def test_similar_turns_equal_brute_force(spark):
+    from dupscan.plans import catalog
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["né", "two", "three", "four", "5", "six!"]) for _ in range(rng.randrange(0, 14))) for _ in range(40)]
+    texts += texts[:6]
+    lex = lambda t: [x for x in __import__("regex").findall(r"[\p{L}_][\p{L}\p{N}_]*|[0-9]+|[^ ]", t)]
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(" ".join(lex(t)), i)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    runs = lambda s: {tuple(s.split()[k : k + 4]) for k in range(len(s.split()) - 3)}
+    expected = {(min(i, j), max(i, j)): round(1 - distance(a, b) / max(len(a), len(b)), 9) for a, i in first.items() for b, j in first.items() if i < j and runs(a) & runs(b)}
+    got = catalog.similar_turns(spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")).collect()
+    assert {(r.file_a, r.file_b): r.similarity for r in got} == expected and len(expected) > 20
+
+
 def test_min_lines_before_or_after_grouping(spark):
     files = python(spark, TWO)
     config = DetectionConfig(min_tokens=5, min_lines=2)
