@@ -10,10 +10,13 @@ pieces are dealt into groups of about `GROUP`; on each group `ISLANDS` islands e
 
 After an epoch each island sends its elite to the next one, which takes it into its population for another epoch; the best
 island wins.  Bins that stay under `WELL` full are dissolved, and their pieces meet those of other groups in a next level,
-until one group holds them all.  Tasks hold a group at a time, so memory is bounded; lost tasks run again from tables.
+until one group holds them all or a level saves no sequence.  Tasks hold a group at a time, so memory is bounded; lost
+tasks run again from tables.  Where best-fit meets the lower bound (the larger of total size over capacity and the number
+of pieces larger than half of it) nothing can be better, and a population is not bred.
 
 Nulls and ties: a null text is empty; every document ends with id 0, so an empty one is a piece of one token; rows that
-repeat an id are documents of their own; a null id is packed like any; other columns are ignored; no rows give no rows.
+repeat an id are documents of their own; a null id is packed like any; other columns are ignored; no rows give no rows;
+a text of any length is cut into pieces.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dupscan.llm.shared import Texts, U, batch, cut, small_batches, text_blocks
 
-GROUP, ISLANDS, EPOCHS, POPULATION, GENERATIONS, WELL, LEVELS = 4000, 2, 2, 5, 10, 0.98, 4
+GROUP, ISLANDS, EPOCHS, POPULATION, GENERATIONS, WELL = 4000, 2, 2, 5, 10, 0.98
 #: Words whose ids a worker keeps: 2^22 slots, 80 MB; and runs of letters, about 65 MB.
 SLOTS, CORES = 1 << 22, 300_000
 #: What may follow a word's letters without changing how the letters are split; the apostrophe is not among them.
@@ -265,7 +268,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[in
     if not sizes:
         return []
     rng = np.random.default_rng(seed)
-    least = ceil(sum(sizes) / capacity)
+    least = max(ceil(sum(sizes) / capacity), sum(2 * x > capacity for x in sizes))
     by_size = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
     people = [best_fit(sizes, by_size, capacity), *([list(b) for b in e] for e in elites)]
     if min(map(len, people)) > least:
@@ -316,7 +319,7 @@ def packed_cells(items: DataFrame, cells: int, capacity: int, level: int) -> Dat
     dealt = items.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit(level)), F.lit(cells)).cast("int"))
     dealt = cut(dealt)  # the islands of a cell must see the same pieces
     now = dealt.withColumn("island", F.explode(F.array(*(F.lit(k) for k in range(ISLANDS))))).withColumns({"item": F.lit(0), "bin": F.lit(0), "own": F.lit(True)})
-    now = cut(now.groupBy("cell", "island").applyInPandas(_island(capacity, 0), ROW))
+    now = cut(now.groupBy("cell", "island").applyInPandas(_island(capacity, 0), ROW), dealt)
     for epoch in range(1, EPOCHS):
         elite = now.withColumns({"island": ((F.col("island") + 1) % ISLANDS).cast("int"), "own": F.lit(False)})
         now = cut(now.withColumn("own", F.lit(True)).unionByName(elite).groupBy("cell", "island").applyInPandas(_island(capacity, epoch), ROW))
@@ -326,29 +329,33 @@ def packed_cells(items: DataFrame, cells: int, capacity: int, level: int) -> Dat
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> DataFrame:
     """PIECES with sequence_id and offset for each piece of docs."""
-    from pyspark.sql import Window
-
     small_batches(docs.sparkSession)
     names = [c.split()[0] for c in PIECES.split(", ")]
     all_ = cut(pieces(docs, path, id_col, text_col, capacity))
     whole = all_.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     items, out = all_.where(F.col("length") < capacity), [whole]
-    count = items.count()
-    for level in range(LEVELS):
-        if not count:
-            break
+    before = Window.partitionBy("sequence_id").orderBy("doc_id", "piece", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+
+    def done(rows: DataFrame) -> None:
+        out.append(rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select(*names, "sequence_id", "offset"))
+
+    count, level, held, bins = items.count(), 0, None, 0
+    while count:
         cells = max(1, count // GROUP)
-        rows = packed_cells(items, cells, capacity, level)
-        last = cells == 1 or level == LEVELS - 1
-        key = [F.lit(level + 1).cast("long") * (1 << 56) + F.col("cell").cast("long") * (1 << 24) + F.col("bin")]
-        rows = cut(rows.select(*names, key[0].alias("sequence_id")).withColumn("fill", F.sum("length").over(Window.partitionBy("sequence_id"))))
-        done = rows if last else rows.where(F.col("fill") >= WELL * capacity)
-        before = Window.partitionBy("sequence_id").orderBy("doc_id", "piece", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-        out.append(done.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select(*names, "sequence_id", "offset"))
-        if last:
+        number = F.lit(level + 1).cast("long") * (1 << 56) + F.col("cell").cast("long") * (1 << 24) + F.col("bin")
+        rows = packed_cells(items, cells, capacity, level).select(*names, number.alias("sequence_id"))
+        rows = cut(rows.withColumn("fill", F.sum("length").over(Window.partitionBy("sequence_id"))))
+        if held is not None and rows.select("sequence_id").distinct().count() >= bins:
+            done(held)  # mixing the groups' pieces saved nothing, so the level before stands
+            break
+        if cells == 1:
+            done(rows)
             break
-        items = rows.where(F.col("fill") < WELL * capacity).select(*names)
-        count = items.count()
+        done(rows.where(F.col("fill") >= WELL * capacity))
+        held = rows.where(F.col("fill") < WELL * capacity)
+        items = held.select(*names)
+        count, bins = held.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        level += 1
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)
