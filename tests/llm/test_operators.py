@@ -314,6 +314,27 @@ def test_genetic_packing():
     assert packing.evolve([], 100, 1) == []
 
 
+def test_genetic_packing_beats_best_fit():
+    """Sets of three that fill a sequence exactly: best-fit misses the bound, breeding comes nearer."""
+    rng = random.Random(3)
+    sizes = []
+    for _ in range(40):
+        a, b = rng.randrange(380, 490), rng.randrange(255, 300)
+        sizes += [a, b, 1000 - a - b]
+    plain = packing.best_fit(sizes, sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True), 1000)
+    best = packing.evolve(sizes, 1000, 5, generations=150)
+    assert len(plain) > 40 and len(best) < len(plain)
+    assert sorted(i for b in best for i in b) == list(range(len(sizes))) and max(packing.fills(sizes, best)) <= 1000
+
+
+def test_packing_levels_end(spark, monkeypatch):
+    """Pieces of which no two fit together: no level saves a sequence, and packing ends with one for each."""
+    monkeypatch.setattr(packing, "GROUP", 10)
+    texts = ["word " * (40 + k % 3) for k in range(60)]
+    got = packing.pack(documents(spark, texts), queries.tokenizer("word_bpe_49k.json"), capacity=64).collect()
+    assert len(got) == 60 == len({r.sequence_id for r in got}) and {r.offset for r in got} == {0}
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     monkeypatch.setattr(embedding_dedup, "TILE", 16)
@@ -350,13 +371,36 @@ def test_embeddings(spark, monkeypatch):
 def test_rotated_codes_estimate_without_bias():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 64))
+    o = embedding_dedup.unit(x)
+    turn = embedding_dedup.rotation(64)
+    code, f = embedding_dedup.encode(o, turn)
+    assert code.shape == (300, 8) and np.allclose(np.linalg.norm(turn, axis=0), 1)
+    corner, z = embedding_dedup.corners(code), (o @ turn.T).astype(np.float32)
+    estimate = corner @ z.T / f[:, None]
+    error = (estimate - o @ o.T)[~np.eye(300, dtype=bool)]
+    assert abs(error.mean()) < 0.004 and error.std() < 0.11
+    least = embedding_dedup.least_estimate(f, 64, 0.98)
+    assert len(embedding_dedup.candidates(corner, z, least, corner, z, least)[0]) < 300 * 300 / 20
+
+
+def test_codes_lose_no_pair_near_the_threshold():
+    """Pairs at a cosine of 0.98 to 0.985, the hardest ones: recall against brute force."""
+    rng = np.random.default_rng(9)
+    a = embedding_dedup.unit(rng.standard_normal((20_000, 64)))
+    side = rng.standard_normal((20_000, 64))
+    side = embedding_dedup.unit(side - (side * a).sum(1, keepdims=True) * a)
+    cosine = rng.uniform(0.98, 0.985, (20_000, 1))
+    b = a * cosine + side * np.sqrt(1 - cosine**2)
     turn = embedding_dedup.rotation(64)
-    y, f = embedding_dedup.encode(x, turn)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    estimate = (np.where(y >= 0, 1, -1) / np.sqrt(y.shape[1])) @ y.T / f[:, None]
-    error = (estimate - unit @ unit.T)[~np.eye(300, dtype=bool)]
-    assert abs(error.mean()) < 0.002 and error.std() < 0.08
-    assert len(embedding_dedup.candidates(y, f, y, f, 0.98)) < 300 * 300 / 20
+    found = 0
+    for k in range(0, 20_000, 500):
+        own = []
+        for v in (a[k : k + 500], b[k : k + 500]):
+            code, f = embedding_dedup.encode(v, turn)
+            own += [embedding_dedup.corners(code), (v @ turn.T).astype(np.float32), embedding_dedup.least_estimate(f, 64, 0.98)]
+        i, j = embedding_dedup.candidates(*own)
+        found += int((i == j).sum())
+    assert found >= 0.9995 * 20_000
 
 
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
