@@ -215,9 +215,9 @@ def _similar(spark, sf_dir, threshold):
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
-@query(f"WITH {DOCS}, {TOKENS}, {WINDOWS}, {REPEATED}, {SHARING} SELECT file_a, file_b, round(similarity, 9) AS similarity FROM alike WHERE similarity >= 0.5")
+@query(f"WITH {DOCS}, {TOKENS}, {WINDOWS}, {REPEATED}, {SHARING} SELECT file_a, file_b, round(similarity, 9) AS similarity FROM alike WHERE similarity >= 0.7")
 def jaccard_pairs(spark, sf_dir):
-    return _similar(spark, sf_dir, 0.5)
+    return _similar(spark, sf_dir, 0.7)
 
 
 @query(f"""WITH {DOCS}, {TOKENS}, {WINDOWS}, {REPEATED}, {SHARING}
@@ -226,22 +226,14 @@ def similar_documents(spark, sf_dir):
     return _similar(spark, sf_dir, 0.85).withColumn("clone_type", F.lit("Type-3"))
 
 
-PHRASE = 4
-
-
-def similar_turns(turns: DataFrame) -> DataFrame:
-    """(file_a, file_b, similarity): edit similarity, in characters, of distinct normalised texts that share a run of PHRASE
-    tokens; of equal ones the least file_id stands for all.  turns: file_id, content."""
-    arrays = clones.text_arrays(turns)
-    own = similarity.representatives(arrays)
-    pairs = similarity.sharing_pairs(clones.repeated(clones.windows(own, PHRASE)), own.select("file_id", F.lit(1).alias("n")))
-    return similarity.similar_pairs(pairs, own, "levenshtein").withColumn("similarity", F.round("similarity", 9))
-
-
 @query()
 def levenshtein_pairs(spark, sf_dir):
-    """similar_turns of all conversations.  DuckDB's levenshtein counts bytes, so there is no SQL; the tests use brute force."""
-    return similar_turns(spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("file_id"), F.coalesce("text", F.lit("")).alias("content"))))
+    """Edit similarity, in characters, of the normalised texts of similar_documents' pairs.  DuckDB's levenshtein counts
+    bytes, so there is no SQL; the tests use brute force."""
+    arrays = document_arrays(spark, sf_dir)
+    pairs = similarity.similar_files(clones.repeated(clones.windows(arrays, WIDTH)), arrays, 0.85).select("file_a", "file_b")
+    # texts can be long and pairs few: spread them
+    return similarity.similar_pairs(spread(pairs), arrays, "levenshtein").withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"""WITH turns AS (SELECT conv_id, turn, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line FROM conversations)

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from dupscan.config import DetectionConfig
+from dupscan.functions import text as T
 from dupscan.operators import clones, similarity, stats, syntax
 from dupscan.plans.detector import detect, total_clones
 from dupscan.sources.files import FILES
@@ -105,9 +107,7 @@ def test_regions_with_another_file_between(spark):
     assert got[1, 3] == 30 and got[1, 2] == got[2, 3] == 6
 
 
-def test_similar_turns_equal_brute_force(spark):
-    from dupscan.plans import catalog
-
+def test_edit_similarity_equals_brute_force(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["né", "two", "three", "four", "5", "six!"]) for _ in range(rng.randrange(0, 14))) for _ in range(40)]
     texts += texts[:6]
@@ -126,8 +126,13 @@ def test_similar_turns_equal_brute_force(spark):
 
     runs = lambda s: {tuple(s.split()[k : k + 4]) for k in range(len(s.split()) - 3)}
     expected = {(min(i, j), max(i, j)): round(1 - distance(a, b) / max(len(a), len(b)), 9) for a, i in first.items() for b, j in first.items() if i < j and runs(a) & runs(b)}
-    got = catalog.similar_turns(spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")).collect()
-    assert {(r.file_a, r.file_b): r.similarity for r in got} == expected and len(expected) > 20
+    expected = {k: v for k, v in expected.items() if v >= 0.5}
+    files = spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")
+    own = similarity.representatives(clones.text_arrays(files))
+    sizes = own.select("file_id", F.char_length(T.normalized_string(F.col("norm"))).alias("n"))
+    pairs = similarity.sharing_pairs(clones.repeated(clones.windows(own, 4)), sizes, 0.5)  # no more similar than their lengths
+    got = similarity.similar_pairs(pairs, own, "levenshtein", 0.5).collect()
+    assert {(r.file_a, r.file_b): round(r.similarity, 9) for r in got} == expected and len(expected) > 5
 
 
 def test_min_lines_before_or_after_grouping(spark):
@@ -157,8 +162,6 @@ def test_similar_files_with_another_file_between(spark):
 
 
 def test_metric_registry(spark):
-    from pyspark.sql import functions as F
-
     similarity.register_metric("zero", lambda a, b: F.lit(0.0))
     arrays = spark.createDataFrame([(1, ["a"]), (2, ["a"])], "file_id long, norm array<string>")
     pairs = spark.createDataFrame([(1, 2)], "file_a long, file_b long")
