@@ -69,3 +69,70 @@ def test_queries_run_and_equal_their_twins(spark):
             assert_same(out, queries.ORACLES[name], con)
         else:
             assert out.count() >= (0 if name.startswith("op9") else 1), name
+
+
+def odd_folder(spark, folder, rows):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, _kept long, name string, n_words long, _bad long"
+    spark.createDataFrame([(i, t, None, None, None if t is None else len(t), 0.5, 1, 2, "x", -1, 3) for i, t in rows], kind).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, columns with the names of operators' own."""
+    good = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").join(spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(6).collect()]
+    rows = [(None, None), (1, None), (2, ""), (3, good[0]), (3, good[0]), (3, good[1]), (None, good[2]), (5, " ".join(good) * 40), (6, good[0]), (7, " \t\n")]
+    folder = odd_folder(spark, tmp_path / "odd", rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+            assert out.where("score <> 0.5 or n_words <> -1 or _kept <> 2").count() == 0
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+    assert {r.doc_id for r in docs.collect()} <= {None, 1, 2, 3, 5, 6, 7}
+
+
+def test_no_rows(spark, tmp_path):
+    folder = odd_folder(spark, tmp_path / "none", [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_run_computes_each_stage_once(spark, monkeypatch):
+    """Rows that leave the first two stages are counted where they are made."""
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(stage, total):
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+
+            def count(it):
+                for rb in it:
+                    total.add(len(rb))
+                    yield rb
+
+            return out.mapInArrow(count, out.schema)
+
+        return run
+
+    stages = list(corpus_pipeline.STAGES)
+    kept = [stages[0][1](spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER).count()]
+    stages[:2] = [(name, counted(stage, total)) for (name, stage), total in zip(stages[:2], seen, strict=True)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    corpus_pipeline.run(spark, FOLDER).write.format("noop").mode("overwrite").save()
+    assert seen[0].value == kept[0] and 0 < seen[1].value <= kept[0]
+
+
+def test_cut_deletes_what_is_done(spark):
+    import glob
+
+    from dupscan.llm.shared import cut
+
+    first = cut(spark.range(100).groupBy("id").count())
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    name = first._jdf.queryExecution().logical().rdd().getCheckpointFile().get().rpartition("/")[2]
+    assert glob.glob(f"{folder}/{name}")
+    second = cut(first.where("id < 50"), first)
+    assert not glob.glob(f"{folder}/{name}") and second.count() == 50
