@@ -11,7 +11,8 @@ can match it; sending automata of all shards past all documents would cost their
 * A shard of more than `SHARD` segments is split by window hash, so an automaton stays below about 25,000 words however
   often a passage recurs.  What the parts find is put together to one row for a segment before its members are joined.
 * A first pass finds anchors that very many segments have; their segments are dealt into parts of about `PART`, so no
-  task takes in all occurrences of one passage.
+  task takes in all occurrences of one passage.  The members of one segment are dealt alike when they meet what was found
+  for it; the copies of that are a row for `PART` members.
 
 All words under windows that have a smaller id elsewhere are removed; windows are judged on the input.
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dupscan.llm.shared import Texts, U, among, batch, bitmap, combine, cut, mix, ngrams, signed, small_batches, text_blocks, words
+from dupscan.llm.shared import Texts, U, among, batch, bitmap, combine, cut, few, mix, ngrams, signed, small_batches, text_blocks, words
 
 SHARD = 256
 #: Segments of one anchor that lie together; anchors known to have more are at most this many (2 MB), which changes speed only.
@@ -207,7 +208,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
     # z: as all columns are used, the exchange above serves both sides
     stats = stats.where("(least < most or part <> a) and z is not null").select("part")
     shared = cut(segs.join(stats, "part").drop("part"))  # a semi-join would go below the exchange
-    refs = cut(shared.groupBy("anchor", "segment").agg(F.min("id").alias("id")))
+    refs = cut(shared.groupBy("anchor", "segment").agg(F.min("id").alias("id"), F.count("*").alias("members")))
     n = refs.count()
     seen = docs.sparkSession.sparkContext.broadcast(bitmap(refs.select("anchor", "segment", "id"), n))
     word_schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("id", pa.int64()), ("items", pa.binary())])
@@ -274,7 +275,16 @@ def removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
     found = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(match, "anchor long, segment long, shift int, least array<long>")
     # of a split shard's windows one row for a segment, no more than `length` entries
     found = found.groupBy("anchor", "segment").agg(F.min(F.array_min("least")).alias("earliest"), F.collect_list(F.struct("shift", "least")).alias("found"))
-    hits = shared.join(found, ["anchor", "segment"]).where(F.col("earliest") < F.col("id"))
+    # what is found for a segment with very many members is copied to as many parts as its members are dealt into
+    hot = refs.where(F.col("members") > PART).select("anchor", "segment", F.floor(F.col("members") / PART).alias("more"))
+    on, member = ["anchor", "segment"], shared
+    if hot.limit(1).count():
+        small = few(hot)
+        part = F.pmod(F.xxhash64("id", "version", "first"), F.coalesce("more", F.lit(0)) + 1)
+        member = shared.join(small(hot), on, "left").withColumn("part", part).drop("more")
+        found = found.join(small(hot), on, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("more", F.lit(0))))).drop("more")
+        on = [*on, "part"]
+    hits = member.join(found, on).where(F.col("earliest") < F.col("id"))
     run_schema = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def merge(it):

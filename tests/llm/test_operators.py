@@ -206,7 +206,7 @@ def removed(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard", "part"), [(256, 4096), (2, 4096), (2, 15)])
+@pytest.mark.parametrize(("shard", "part"), [(256, 4096), (2, 4096), (2, 15), (256, 2), (2, 2)])
 def test_substring_dedup(spark, monkeypatch, shard, part):
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
     monkeypatch.setattr(substring_dedup, "PART", part)
