@@ -157,11 +157,13 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts are long: hand them to Python by at most so many at a time, for the rest of the session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Texts are long: hand them to Python by at most so many, and about so many bytes, at a time, for the rest of the
+    session.  One longer text is a batch of its own."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        have = spark.conf.get(key).lower()
+        if not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(key, str(most))
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
