@@ -13,20 +13,40 @@ TOKEN_COLUMNS = [c.split()[0] for c in TOKENS.split(", ")]
 
 
 def text_tokens(files: DataFrame, lower: bool = False) -> DataFrame:
-    """Token rows of the text lexer; positions are running sums, as its tokens cover the whole text."""
-    content = F.lower("content") if lower else F.col("content")
-    rows = files.select("file_id", F.posexplode(T.all_tokens(content)).alias("idx", "value"))
-    before = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    """Token rows of the text lexer; positions are running sums, as its tokens cover the whole text.  Nothing is shuffled."""
+    rows = _placed(files, lower).select("file_id", F.posexplode("t").alias("idx", "t")).select("file_id", "idx", "t.*")
     breaks = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit("\n"), F.lit("")))
     tail = F.char_length(F.substring_index("value", "\n", -1))
-    start = F.coalesce(F.sum(F.char_length("value")).over(before), F.lit(0))
-    line = F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1
-    # where the last line break before a token ended
-    rows = rows.withColumns({"start": start.cast("long"), "start_line": line.cast("int"), "_breaks": breaks})
-    edge = F.coalesce(F.max(F.when(F.col("_breaks") > 0, F.col("start") + F.char_length("value") - tail)).over(before), F.lit(0))
-    rows = rows.withColumns({"start_col": (F.col("start") - edge).cast("int"), "end": F.col("start") + F.char_length("value"), "end_line": (F.col("start_line") + F.col("_breaks")).cast("int"), "token_type": T.token_class(F.col("value"))})
+    rows = rows.withColumns({"_breaks": breaks, "end": F.col("start") + F.char_length("value"), "token_type": T.token_class(F.col("value"))})
     end_col = F.when(F.col("_breaks") > 0, tail).otherwise(F.col("start_col") + F.char_length("value"))
-    return rows.withColumn("end_col", end_col.cast("int")).select(*TOKEN_COLUMNS)
+    return rows.withColumns({"end_line": (F.col("start_line") + F.col("_breaks")).cast("int"), "end_col": end_col.cast("int")}).select(*TOKEN_COLUMNS)
+
+
+def _placed(files: DataFrame, lower: bool) -> DataFrame:
+    """(file_id, t): for each file the array of its tokens, white space too, with value, start, start_line and start_col."""
+    content = F.lower("content") if lower else F.col("content")
+    rows = files.select("file_id", T.all_tokens(content).alias("value")).withColumn("p", T.places(F.col("value")))
+    return rows.select("file_id", F.arrays_zip("value", F.col("p.start").alias("start"), F.col("p.line").alias("start_line"), F.col("p.col").alias("start_col")).alias("t"))
+
+
+def text_windows(files: DataFrame, width: int, mask: bool = False, lower: bool = True, min_lines: int = 1) -> DataFrame:
+    """Windows of the text lexer's tokens with signatures and true positions, of min_lines lines or more: no token rows and
+    no joins on positions."""
+    solid = F.filter("t", lambda x: ~x["value"].rlike(f"^[{T.SPACE}]"))
+    k = _placed(files, lower).select("file_id", solid.alias("k")).where(F.size("k") >= width)
+    raw = F.col("k")["value"]
+    k = k.select("file_id", "k", raw.alias("raw"), (F.transform(raw, T.masked) if mask else raw).alias("norm"))
+    sigs = {"sig": T.windows(F.col("norm"), width)} | ({"raw_sig": T.windows(F.col("raw"), width)} if mask else {})
+    k = k.select("file_id", "k", *(c.alias(name) for name, c in sigs.items()))
+    first, last = (lambda i: F.col("k")[i]), (lambda i: F.col("k")[i + (width - 1)])
+    tall = F.filter(F.sequence(F.lit(0), F.size("k") - width), lambda i: T.line_count(first(i)["start_line"], last(i)["start_line"]) >= min_lines)
+
+    def window(i):
+        end = last(i)["start"] + F.char_length(last(i)["value"])
+        return F.struct(i.alias("pos"), *(F.col(name)[i].alias(name) for name in sigs), first(i)["start"].alias("start"), end.alias("end"), first(i)["start_line"].alias("start_line"), last(i)["start_line"].alias("end_line"))
+
+    rows = k.select("file_id", F.explode(F.transform(tall, window)).alias("w")).select("file_id", "w.*")
+    return rows if mask else rows.withColumn("raw_sig", F.col("sig"))
 
 
 #: Lexers by language; each maps (files, on_error) to token rows.

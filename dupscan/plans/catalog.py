@@ -125,9 +125,10 @@ def _count(test: str) -> str:
 SELECT file_id, len(t)::BIGINT AS tokens, {_count("regexp_matches(v, '^[\\p{L}_]')")} AS identifiers, {_count("regexp_matches(v, '^[0-9]')")} AS literals,
 {_count(f"regexp_matches(v, '^[{T.SPACE}]')")} AS spaces, {_count(f"NOT regexp_matches(v, '^[{T.SPACE}]')")} AS significant FROM lexed""")
 def lex_counts(spark, sf_dir):
-    lexed = spread(document_files(spark, sf_dir).select("file_id", "content")).select("file_id", T.all_tokens(F.col("content")).alias("t")).select("file_id", F.transform("t", T.token_class).alias("c"))
-    n = lambda test: F.size(F.filter("c", test)).cast("long")
-    return lexed.select("file_id", F.size("c").cast("long").alias("tokens"), n(lambda c: c == "Identifier").alias("identifiers"), n(lambda c: c == "Literal").alias("literals"), n(lambda c: c == "Whitespace").alias("spaces"), n(lambda c: c != "Whitespace").alias("significant"))
+    kinds = lambda v: F.substring(T.token_class(v), 1, 1)
+    lexed = spread(document_files(spark, sf_dir).select("file_id", "content")).select("file_id", F.array_join(F.transform(T.all_tokens(F.col("content")), kinds), "").alias("c"))
+    n = lambda kind: (F.length("c") - F.length(F.replace(F.col("c"), F.lit(kind), F.lit("")))).cast("long")
+    return lexed.select("file_id", F.length("c").cast("long").alias("tokens"), n("I").alias("identifiers"), n("L").alias("literals"), n("W").alias("spaces"), (F.length("c") - n("W")).cast("long").alias("significant"))
 
 
 MASKED = "list_transform(k, lambda v: CASE WHEN regexp_matches(v, '^[\\p{L}_]') THEN '$ID' WHEN regexp_matches(v, '^[0-9]') THEN '$LIT' ELSE v END)"
@@ -166,9 +167,7 @@ def window_candidates(spark, sf_dir):
 def _located(spark, sf_dir):
     """Repeated 50-token windows of the documents with positions, of MIN_LINES lines or more."""
     files = document_files(spark, sf_dir)
-    rows = clones.repeated(clones.windows(document_arrays(spark, sf_dir), WIDTH)).withColumn("raw_sig", F.col("sig"))
-    kept = clones.kept_tokens(clones.text_tokens(files, lower=True), mask=False)
-    return files, clones.with_min_lines(clones.located(rows, kept, WIDTH), MIN_LINES)
+    return files, clones.repeated(clones.text_windows(spread(files.select("file_id", "content")), WIDTH, min_lines=MIN_LINES))
 
 
 @query(f"""WITH {DOCS}, {TOKENS}, {WINDOWS}, {REPEATED}, {PLACES}

@@ -128,3 +128,16 @@ def test_text_tokens_cover_the_text(spark):
         assert t["start_col"] == len(before) - (before.rfind("\n") + 1)
         until = text[: t["end"]]
         assert (t["end_line"], t["end_col"]) == (until.count("\n") + 1, len(until) - (until.rfind("\n") + 1))
+
+
+def test_places_of_tokens_in_several_texts(spark):
+    texts = ["", "a\n\n b", "\n", "é x\ny  \n z", "one"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1).select("i", "t", T.all_tokens(F.col("t")).alias("k"))
+    got = rows.select("t", "k", T.places(F.col("k")).alias("p")).collect()
+    assert len(got) == len(texts)
+    for text, tokens, p in got:
+        at = 0
+        assert len(tokens) == len(p.start) == len(p.line) == len(p.col)
+        for token, start, line, col in zip(tokens, p.start, p.line, p.col, strict=True):
+            assert (start, line, col) == (at, text[:at].count("\n") + 1, at - (text[:at].rfind("\n") + 1))
+            at += len(token)
