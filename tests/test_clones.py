@@ -226,3 +226,13 @@ def test_regions_keep_to_definitions(spark):
     assert [f[:2] for f in found] == [(12, 17), (20, 25)] and {f[2] for f in found} == {30} and not any(f[3] for f in found)
     uncut = detect(python(spark, THREE), config.with_(whole_units=False)).regions.collect()
     assert max(r.length for r in uncut) > 30
+
+
+def test_text_windows_equal_windows_located_by_joins(spark):
+    texts = ["a b 1 c\nd, e", "x y 2 z\nd, e\n\nf", "", "a b"]
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file_id long, content string")
+    kept = clones.kept_tokens(clones.text_tokens(files, lower=True), mask=True)
+    names = ["file_id", "pos", "sig", "raw_sig", "start", "end", "start_line", "end_line"]
+    want = clones.located(clones.windows(clones.arrays(kept), 4, both=True), kept, 4).where("end_line > start_line")
+    got = clones.text_windows(files, 4, mask=True, min_lines=2)
+    assert sorted(got.select(names).collect()) == sorted(want.select(names).collect()) != []
