@@ -1,4 +1,5 @@
-"""Column functions on texts and tokens; all but windows, rolling_hashes and places run in the JVM."""
+"""Column functions on texts and tokens; all but windows, rolling_hashes and places run in the JVM.  anchors and edit_distance
+are for what runs in Python."""
 
 from __future__ import annotations
 
@@ -127,6 +128,73 @@ def windows(tokens: Column, width: int) -> Column:
     return prints(tokens)
 
 
+def anchors(hashes: pa.Array, width: int) -> pa.Array:
+    """Of lists of token hashes the distinct anchors of the windows of width tokens: of the runs of half a window's tokens
+    inside a window, the least hash.  Texts that share a window share its anchor, and neighbouring windows mostly have the
+    same: at a width of 50 there are about two anchors for 27 windows."""
+    run = (width + 1) // 2
+    span = width - run + 1
+    count = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = np.maximum(count - width + 1, 0)
+    own = np.repeat(np.arange(len(count)), number)
+    low = np.empty(0, np.uint64)
+    if len(own):
+        h = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        runs = np.zeros(len(h) - run + 1, np.uint64)
+        for j in range(run):
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(runs)]
+        low, have = (runs ^ (runs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), 1
+        while 2 * have <= span:
+            low, have = np.minimum(low[:-have], low[have:]), 2 * have
+        if span > have:
+            low = np.minimum(low[: have - span], low[span - have :])
+        # the windows inside of one list; once where neighbours have the same, then once a list
+        low = low[np.repeat(np.cumsum(count) - count - (np.cumsum(number) - number), number) + np.arange(len(own))]
+        for order in (slice(None), None):
+            order = np.lexsort((low, own)) if order is None else order
+            own, low = own[order], low[order]
+            new = np.r_[True, (low[1:] != low[:-1]) | (own[1:] != own[:-1])]
+            own, low = own[new], low[new]
+    at = np.r_[0, np.cumsum(np.bincount(own, minlength=len(count)))]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(low.view(np.int64), pa.int64()))
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance in code points: a column of the table is two whole numbers, one bit a row (Myers, Hyyro)."""
+    lo, end = 0, min(len(a), len(b))
+    step = end
+    while step:  # common beginning
+        if a.startswith(b[lo : lo + step], lo) and lo + step <= end:
+            lo += step
+        else:
+            step //= 2
+    a, b = a[lo:], b[lo:]
+    hi, end = 0, min(len(a), len(b))
+    step = end
+    while step:  # common end
+        if hi + step <= end and a.endswith(b[len(b) - hi - step : len(b) - hi], 0, len(a) - hi):
+            hi += step
+        else:
+            step //= 2
+    a, b = a[: len(a) - hi], b[: len(b) - hi]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    m = len(a)
+    full, where = (1 << m) - 1, {}
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
+    for c in set(b):
+        where[c] = int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little")
+    up, down = full, 0  # rows where the column rises and falls
+    for c in b:
+        eq = where[c]
+        x = ((((eq & up) + up) ^ up) | eq | down) & full
+        plus = ((down | ((x | up) ^ full)) << 1 | 1) & full
+        up, down = ((x & up) << 1 | ((x | plus) ^ full)) & full, x & plus
+    return len(b) + up.bit_count() - down.bit_count()
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of the sets of two token arrays without empty tokens; 0 if both are empty."""
     a, b = (F.filter(x, lambda t: t != "") for x in (a, b))

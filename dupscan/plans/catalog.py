@@ -208,9 +208,8 @@ scored AS (SELECT file_a, file_b, len(list_intersect(a.s, b.s)) AS i, len(a.s) +
 alike AS (SELECT file_a, file_b, i::DOUBLE / (n - i) AS similarity FROM scored)"""
 
 
-def _similar(spark, sf_dir, threshold):
-    arrays = document_arrays(spark, sf_dir)
-    found = similarity.similar_files(clones.repeated(clones.windows(arrays, WIDTH)), arrays, threshold)
+def _similar(spark, sf_dir, threshold, edits=False):
+    found = similarity.near_files(document_files(spark, sf_dir), WIDTH, threshold, edits)
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
@@ -229,10 +228,7 @@ def similar_documents(spark, sf_dir):
 def levenshtein_pairs(spark, sf_dir):
     """Edit similarity, in characters, of the normalised texts of similar_documents' pairs.  DuckDB's levenshtein counts
     bytes, so there is no SQL; the tests use brute force."""
-    arrays = document_arrays(spark, sf_dir)
-    pairs = similarity.similar_files(clones.repeated(clones.windows(arrays, WIDTH)), arrays, 0.85).select("file_a", "file_b")
-    # texts can be long and pairs few: spread them
-    return similarity.similar_pairs(spread(pairs), arrays, "levenshtein").withColumn("similarity", F.round("similarity", 9))
+    return _similar(spark, sf_dir, 0.85, edits=True)
 
 
 @query(f"""WITH turns AS (SELECT conv_id, turn, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line FROM conversations)

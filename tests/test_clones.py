@@ -161,6 +161,37 @@ def test_similar_files_with_another_file_between(spark):
     assert {(r.file_a, r.file_b) for r in found} == {(1, 3)} and found[0].similarity == pytest.approx(20 / 22)
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_near_files_equal_brute_force(spark, monkeypatch, block):
+    """Groups of near copies and one common passage, in lists of one block and of many."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rng = random.Random(8)
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"] + ["é", "7", "x_1"]
+    passage, texts = [rng.choice(words) for _ in range(9)], [None, "", "one two"]
+    for _ in range(4):
+        body = [rng.choice(words) for _ in range(rng.randrange(12, 60))]
+        for _ in range(9):
+            own = list(body)
+            for _ in range(rng.randrange(0, 5)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own + passage * rng.randrange(2)))
+    texts += [" ".join([rng.choice(words) for _ in range(rng.randrange(1, 40))] + passage) for _ in range(12)] + texts[5:9]
+    width, lex = 8, [(t or "").split() for t in texts]
+    first = {}
+    for i, t in enumerate(lex):
+        first.setdefault(tuple(t), i)
+    runs = lambda t: {t[k : k + width] for k in range(len(t) - width + 1)}
+    pairs = {(i, j): len({*a} & {*b}) / len({*a} | {*b}) for a, i in first.items() for b, j in first.items() if i < j and runs(a) & runs(b)}
+    files = spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")
+    for threshold in (0.0, 0.7, 0.85):
+        expected = {k: v for k, v in pairs.items() if v >= threshold}
+        got = similarity.near_files(files, width, threshold).collect()
+        assert len(got) == len(expected) > 20 and {(r.file_a, r.file_b): r.similarity for r in got} == expected
+    edits = {(r.file_a, r.file_b): r.similarity for r in similarity.near_files(files, width, 0.85, edits=True).collect()}
+    both = spark.createDataFrame([(*k, " ".join(lex[k[0]]), " ".join(lex[k[1]])) for k in expected], "a long, b long, x string, y string")
+    assert edits == {(r.a, r.b): pytest.approx(r.s) for r in both.select("a", "b", T.levenshtein_similarity(F.col("x"), F.col("y")).alias("s")).collect()}
+
+
 def test_metric_registry(spark):
     similarity.register_metric("zero", lambda a, b: F.lit(0.0))
     arrays = spark.createDataFrame([(1, ["a"]), (2, ["a"])], "file_id long, norm array<string>")
