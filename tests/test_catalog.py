@@ -34,7 +34,7 @@ def test_scan_is_pruned(spark, data):
     assert scans and all("n_chars" not in line.split("ReadSchema")[1] for line in scans)
 
 
-@pytest.mark.parametrize("name", ["jaccard_pairs", "similar_documents"])
+@pytest.mark.parametrize("name", ["jaccard_pairs", "similar_documents", "levenshtein_pairs"])
 def test_shuffles_stay_near_the_input(spark, data, name):
     """Not all windows go through shuffles; at sf0.001 that took 17.6 times the size of the documents."""
     written = lambda: sum(x.totalShuffleWrite() for x in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True))))
