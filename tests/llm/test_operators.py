@@ -158,6 +158,47 @@ def test_jaccard_long_lists_and_blocks(spark, monkeypatch, part):
     assert sorted(tuple(r) for r in got) == classes(rows, 4, 85)
 
 
+def near_group(sets, most, seed=3):
+    """Texts of one base with up to `most` of its 200 words changed, so that most are near several others, linked or not."""
+    rng = random.Random(seed)
+    texts = []
+    for k in range(sets):
+        w = [f"b{i}" for i in range(200)]
+        for _ in range(rng.randrange(most)):
+            w[rng.randrange(200)] = f"z{k}x{rng.randrange(10**6)}"
+        texts.append(" ".join(w[: 200 - rng.randrange(40)]))
+    return list(enumerate(texts))
+
+
+def test_jaccard_group_of_several_hubs_makes_few_pairs(spark, monkeypatch):
+    """One group of near copies whose lists have several hubs: the pairs made grow with the sets, not with their square."""
+    made = []
+
+    def counted(df, *done):
+        out = cut(df, *done)
+        if out.columns == ["a", "b", "sa", "sb"]:
+            made.append(out.count())
+        return out
+
+    cut = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    rows = near_group(600, 9)
+    got = jaccard_join.jaccard_classes(documents(spark, rows), n=5, percent=80).collect()
+    assert sorted(tuple(r) for r in got) == classes(rows, 5, 80)
+    assert made and max(made) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize(("long", "part"), [(3, 4096), (3, 5), (10**6, 4096)])
+def test_jaccard_hubs_of_long_lists_lose_no_link(spark, monkeypatch, long, part):
+    monkeypatch.setattr(jaccard_join, "LONG", long)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    rows = near_group(150, 9, seed=4)
+    got = jaccard_join.jaccard_classes(documents(spark, rows), n=5, percent=80).collect()
+    assert sorted(tuple(r) for r in got) == classes(rows, 5, 80)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_jaccard_least_need_equals_brute_force(spark, percent):
     def need(a, b):
